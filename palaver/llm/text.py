@@ -36,9 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, from exponent 0; kept for later calls."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 21)
         for k, b in (("up", BASE), ("down", BASE_INVERSE)):
-            a = np.full(n, b, dtype=np.uint64)
+            a = np.full(max(n, 1 << 21), b, dtype=np.uint64)
             a[0] = 1
             _powers[k] = np.multiply.accumulate(a)
     return _powers["up"][:n], _powers["down"][:n]
