@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palaver.llm import decontaminate, minhash, packing, urls, warc
+from palaver.llm import decontaminate, minhash, packing, quality, urls, warc
 
 
 def queries():
-    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op6_near_dedup": minhash.op6_near_dedup, "op9_url_filter": urls.op9_url_filter}
+    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op5_quality": quality.op5_quality, "op6_near_dedup": minhash.op6_near_dedup, "op9_url_filter": urls.op9_url_filter}
 
 
 def oracle_sql():
