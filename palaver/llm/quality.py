@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palaver.llm import text as tx
 from palaver.llm.shared import arrow_rows
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
     arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(*names).withColumn(text, F.col(text).cast("string"))
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
