@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from palaver.llm import decontaminate, langid, minhash, packing, quality, urls, warc
+from palaver.llm import decontaminate, langid, lattice, minhash, packing, quality, urls, warc
 
 
 def queries():
-    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op5_quality": quality.op5_quality, "op6_near_dedup": minhash.op6_near_dedup, "op8_language": langid.op8_language, "op9_url_filter": urls.op9_url_filter}
+    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op5_quality": quality.op5_quality, "op6_near_dedup": minhash.op6_near_dedup, "op8_language": langid.op8_language, "op9_url_filter": urls.op9_url_filter, "op10_embedding_dedup": lattice.op10_embedding_dedup}
 
 
 def oracle_sql():
-    return {"op9_url_filter": urls.SQL}
+    return {"op9_url_filter": urls.SQL, "op10_embedding_dedup": lattice.SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -51,6 +52,24 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same nodes as all of (a, b), fewer than there are nodes."""
+    up, out = {}, []
+
+    def find(i):
+        while up.get(i, i) != i:
+            up[i] = up.get(up[i], up[i])
+            i = up[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) with label the smallest node of the connected component.
 
