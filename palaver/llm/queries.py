@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palaver.llm import decontaminate, langid, lattice, minhash, packing, quality, urls, warc
+from palaver.llm import chat, decontaminate, langid, lattice, licenses, minhash, packing, quality, urls, warc
 
 
 def queries():
-    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op5_quality": quality.op5_quality, "op6_near_dedup": minhash.op6_near_dedup, "op8_language": langid.op8_language, "op9_url_filter": urls.op9_url_filter, "op10_embedding_dedup": lattice.op10_embedding_dedup}
+    return {"op1_decontamination": decontaminate.op1_decontamination, "op2_warc": warc.op2_warc, "op3_packing": packing.op3_packing, "op4_chat_format": chat.op4_chat_format, "op5_quality": quality.op5_quality, "op6_near_dedup": minhash.op6_near_dedup, "op7_license_scan": licenses.op7_license_scan, "op8_language": langid.op8_language, "op9_url_filter": urls.op9_url_filter, "op10_embedding_dedup": lattice.op10_embedding_dedup}
 
 
 def oracle_sql():
