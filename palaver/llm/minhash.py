@@ -10,8 +10,9 @@ Documents with equal words are one text from then on. Texts that share a band ar
 a pair is a link if the Jaccard similarity of its shingle sets, counted from the whole texts,
 is at least the threshold. Within a bucket, pairs are not all written out: every round each
 text of a bucket is compared with a pivot, classes are joined, and buckets of one class are
-done. What pivots leave open is compared pair by pair, so no link between texts is lost,
-however large the bucket; the classes are the connected components of the links.
+done. What pivots leave open is compared pair by pair inside tasks, a large bucket in pairs of
+blocks, so no link between texts of a bucket is lost; tasks send on spanning links only. The
+classes are the connected components of the links.
 
 Nulls and empties: a text without a word (null and empty ones too) links with nothing; its
 class is its own doc_id. A row without doc_id is compared with nothing and has a null class.
@@ -22,6 +23,7 @@ words is one shingle.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -30,12 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import Scratch, arrow_rows, components
+from palaver.llm.shared import Scratch, arrow_rows, components, spanning
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Rounds of pivots before the rest is compared pair by pair.
 PIVOTS = 2
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 512
+#: Ids of candidate texts that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
 
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -160,7 +166,84 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS) -> DataFrame:
+def set_rows(texts: DataFrame, words: int) -> DataFrame:
+    """node, print and the sorted distinct shingles (elements, 8 bytes each) of doc_id, text."""
+
+    def run(batches):
+        for b in batches:
+            for at, part in tx.chunks(b.column(1)):
+                hashes, rows, _, _ = tx.words(tx.plain(part))
+                row, element, _ = weighted(*tx.shingles(hashes, rows, words))
+                cut = np.searchsorted(row, np.arange(len(part) + 1))
+                sets = [element[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(_fingerprints(hashes, rows), pa.binary()), pa.array(sets, pa.binary())], ["node", "print", "elements"])
+
+    return texts.mapInArrow(run, "node long, print binary, elements binary")
+
+
+def block_links(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members with different labels, not both of one block, whose sets are similar enough.
+
+    Shared shingles of all pairs are counted at once, as products of slices of the incidence matrix.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(m), size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    new = np.concatenate((np.ones(1, bool), flat[1:] != flat[:-1]))
+    column = np.cumsum(new) - 1
+    common = np.bincount(column) > 1
+    keep = common[column]
+    column, who = (np.cumsum(common) - 1)[column[keep]], who[keep]
+    shared = np.zeros((m, m), np.float32)
+    step = 4096
+    for c in range(0, int(common.sum()), step):
+        lo, hi = np.searchsorted(column, (c, c + step))
+        part = np.zeros((m, step), np.float32)
+        part[who[lo:hi], column[lo:hi] - c] = 1
+        shared += part @ part.T
+    union = size[:, None] + size[None, :] - shared
+    ok = (shared >= similarity * union - 1e-6) & (label[:, None] != label[None, :]) & ((side[:, None] == 0) | (side[:, None] != side[None, :]))
+    return np.nonzero(np.triu(ok, 1))
+
+
+def open_links(similarity: float):
+    """Kernel over rows sorted by bucket and block pair: links that span what each group links."""
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None and held is not None:
+                batch = pa.concat_batches([held, batch])
+            final = batch is None
+            batch = held if final else batch
+            held = None
+            if batch is None or not batch.num_rows:
+                continue
+            bucket, i, j = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            change = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), change)))
+            ends = np.append(first[1:], batch.num_rows)
+            if not final:  # the last group may go on in the next batch
+                held = batch.slice(int(first[-1]))
+                first, ends = first[:-1], ends[:-1]
+            side, node, label = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            elements, found = batch.column(6), []
+            for lo, hi in zip(first.tolist(), ends.tolist(), strict=True):
+                if (label[lo:hi] == label[lo]).all():
+                    continue
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in elements.slice(lo, hi - lo)]
+                x, y = block_links(label[lo:hi], side[lo:hi], sets, similarity)
+                found += spanning(node[lo:hi][x], node[lo:hi][y])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found]), pa.array([max(p) for p in found])], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     signed = scratch.put(sign(docs, words, bands, rows), "signed")
@@ -169,48 +252,66 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     key = F.explode("bands").alias("bucket")
     shared = texts.select(key).groupBy("bucket").count().where("count > 1").select("bucket")
     members = scratch.put(texts.select("node", "print", "shingles", key).join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    sources = scratch.put(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "sources")
-
-    links, labels, open_ = None, None, members.withColumn("label", F.col("node"))
-    tried = None
-    for k in range(pivots + 1):
-        if k < pivots:
-            order = F.struct((F.xxhash64("label", F.lit(k)) if k else F.col("node")).alias("turn"), "node", "print", "shingles", "label")
-            pivot = open_.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "print", "shingles", "label")))
-            met = open_.join(pivot, "bucket")
-        else:
-            met = open_.join(open_.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("node", "print", "shingles", "label"))), "bucket")
-        met = met.where(f"label <> p_label and least(shingles, p_shingles) >= {similarity} * greatest(shingles, p_shingles) - 1e-9")
+    wanted = scratch.put(members.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sources = scratch.put(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi"), "sources")
+
+    links, open_ = None, members.withColumn("label", F.col("node"))
+    for k in range(pivots):
+        order = F.struct((F.xxhash64("label", F.lit(k)) if k else F.col("node")).alias("turn"), "node", "print", "shingles", "label")
+        pivot = open_.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "print", "shingles", "label")))
+        met = open_.join(pivot, "bucket").where(f"label <> p_label and least(shingles, p_shingles) >= {similarity} * greatest(shingles, p_shingles) - 1e-9")
         swap = F.col("node") > F.col("p_node")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         pairs = met.select(pick("node", "p_node").alias("a"), pick("p_node", "node").alias("b"), pick("print", "p_print").alias("pa"), pick("p_print", "print").alias("pb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, f"pairs{k}")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = scratch.put(verify(pairs, sources, words, similarity), f"new{k}")
+        new = scratch.put(verify(scratch.put(pairs, f"pairs{k}"), sources, words, similarity), f"new{k}")
         links = new if links is None else links.union(new)
-        found = Scratch(spark)
-        labels = components(found, links)
-        if k < pivots:
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            open_ = scratch.put(labelled.join(mixed, "bucket"), f"open{k}")
-            found.drop("components")
-            if not open_.limit(1).count():
-                labels = components(found, links)
-                break
+        open_ = _unfinished(scratch, members, links, f"open{k}")
+    # What pivots left open: every pair of a bucket whose labels differ, in pairs of blocks.
+    counts = scratch.put(open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "counts")
+    ids = scratch.put(open_.select(F.col("node").alias("doc_id"), "print").distinct(), "ids")
+    sets = scratch.put(set_rows(sources.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), words).join(ids.withColumnRenamed("doc_id", "node"), ["node", "print"]).distinct(), "sets")
+    dealt = open_.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
+    dealt = dealt.join(sets, ["node", "print"]).select("bucket", "i", "j", "side", "node", "label", "elements")
+    arrow_rows(spark, 1000)
+    rest = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(open_links(similarity), "a long, b long")
+    links = links.union(scratch.put(rest.distinct(), "rest"))
+    scratch.drop("sources", "sets")
+    labels = components(scratch, links)
     classes = texts.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("class_id"))
     classes = scratch.put(classes, "classes")
     out = signed.select("doc_id", "print").join(classes, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _unfinished(scratch: Scratch, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The members, with their labels so far, of buckets that hold more than one label."""
+    found = Scratch(members.sparkSession)
+    labelled = members.join(components(found, links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    out = scratch.put(labelled.join(mixed, "bucket"), name)
+    found.drop("components")
+    return out
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that are not the first of their class; rows without doc_id stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each class, of its first doc_id; rows without doc_id all stay."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.put(near_duplicates(docs.select("doc_id", "text"), **options), "found")
+
+    def small(ids: DataFrame, name: str) -> DataFrame:
+        ids = scratch.put(ids, name)
+        return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+    gone = small(found.where("not kept").select("doc_id").distinct(), "gone")
+    repeated = small(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    left = docs.join(gone, "doc_id", "left_anti")
+    row = F.struct(*docs.columns)
+    first = left.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(first.select("row.*").select(docs.columns))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
