@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 
-def _modules():
-    return ()
+from palaver.plans import conversations
+
+_MODULES = (conversations,)
 
 
 def queries():
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {k: v for m in _modules() for k, v in m.ORACLE.items()}
+    return {k: v for m in _MODULES for k, v in m.ORACLE.items()}
