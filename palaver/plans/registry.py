@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 
-from palaver.plans import conversations
+from palaver.plans import conversations, corpus
 
-_MODULES = (conversations,)
+_MODULES = (conversations, corpus)
 
 
 def queries():
