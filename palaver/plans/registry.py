@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 
-from palaver.plans import conversations, corpus
+from palaver.plans import analytics, conversations, corpus
 
-_MODULES = (conversations, corpus)
+_MODULES = (conversations, corpus, analytics)
 
 
 def queries():
