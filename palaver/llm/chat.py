@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows
+from palaver.llm.shared import arrow_rows, lean
 
 SEGMENT = 256
 ROLES = ("system", "user", "assistant")
@@ -155,7 +155,7 @@ def format_chats(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
     arrow_rows(transcripts.sparkSession, 2000)
     rows = transcripts.select(*names).withColumn(text, F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, schema + ", n_turns int, roles array<string>, contents array<string>, rendered string")
+    return rows.mapInArrow(lean(run), schema + ", n_turns int, roles array<string>, contents array<string>, rendered string")
 
 
 def transcripts(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:

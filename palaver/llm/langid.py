@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palaver.llm import text as tx
 from palaver.llm.quality import fold
-from palaver.llm.shared import arrow_rows
+from palaver.llm.shared import arrow_rows, lean
 
 MAX_TRAIN_DOCS = 6000
 BUCKETS = 1 << 16
@@ -149,7 +149,7 @@ def train(docs: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Model:
     wanted = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = docs.join(F.broadcast(wanted), "doc_id").where("text is not null").select("lang", "text").distinct()
     arrow_rows(docs.sparkSession, 2000)
-    rows = own.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = own.mapInArrow(lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
     counts = np.zeros((len(languages), BUCKETS))
     counts[rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(*names).withColumn(text, F.col(text).cast("string"))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import Scratch, arrow_rows, components, spanning
+from palaver.llm.shared import Scratch, arrow_rows, components, lean, spanning
 
 COSINE = 0.93
 TABLES, PROBES, SCALE = 6, 10, 0.8
@@ -119,7 +119,7 @@ def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
                         ["cell", "home", "t", "node", "label_key", "n", "embedding"],
                     )
 
-    return points.select("node", "embedding", "label_key", "n").mapInArrow(run, "cell long, home boolean, t int, node long, label_key long, n long, embedding array<double>")
+    return points.select("node", "embedding", "label_key", "n").mapInArrow(lean(run), "cell long, home boolean, t int, node long, label_key long, n long, embedding array<double>")
 
 
 def _compare(cosine: float, probes: int):
@@ -216,7 +216,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     met = met.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
     met = met.select("cell", "i", "j", "home", "t", "node", "n", "side", "label_key", "embedding")
     dealt = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = scratch.put(dealt.mapInArrow(_compare(cosine, probes), "a long, b long, links long"), "found")
+    found = scratch.put(dealt.mapInArrow(lean(_compare(cosine, probes)), "a long, b long, links long"), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(scratch, found.where("b is not null")).withColumnRenamed("label", "component")
     # Nodes are the smallest vec_id of equal vectors, so one id may stand for several labels' points.

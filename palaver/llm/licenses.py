@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import Scratch, arrow_rows
+from palaver.llm.shared import Scratch, arrow_rows, lean
 
 COSINE = 0.6
 FILE_SHARE = 0.5
@@ -78,7 +78,7 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
                 total += len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(order, -1)), pa.array(np.append(count, total))], ["word", "n"])
 
-    rows = files.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = files.select(F.col("text").cast("string")).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     by = {r["word"]: r["n"] for r in rows}
     return {w: by.get(i, 0) for i, w in enumerate(names)}, by.get(-1, 0)
 
@@ -130,7 +130,7 @@ def scan_headers(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     arrow_rows(files.sparkSession, 2000)
     rows = files.select(*keep, F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
-    return rows.mapInArrow(run, schema + ", own string, cosine double, share double")
+    return rows.mapInArrow(lean(run), schema + ", own string, cosine double, share double")
 
 
 def headers(matcher: Matcher, text: str, cosine: float) -> tuple[str | None, float, float]:

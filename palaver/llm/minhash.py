@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import Scratch, arrow_rows, components, spanning
+from palaver.llm.shared import Scratch, arrow_rows, components, lean, spanning
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -129,7 +129,7 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
 
     arrow_rows(docs.sparkSession, 2000)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, print binary, shingles long, bands array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, print binary, shingles long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -163,7 +163,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "ta", "tb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def set_rows(texts: DataFrame, words: int) -> DataFrame:
@@ -178,7 +178,7 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
                 sets = [element[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(_fingerprints(hashes, rows), pa.binary()), pa.array(sets, pa.binary())], ["node", "print", "elements"])
 
-    return texts.mapInArrow(run, "node long, print binary, elements binary")
+    return texts.mapInArrow(lean(run), "node long, print binary, elements binary")
 
 
 def block_links(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
     dealt = dealt.join(sets, ["node", "print"]).select("bucket", "i", "j", "side", "node", "label", "elements")
     arrow_rows(spark, 1000)
-    rest = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(open_links(similarity), "a long, b long")
+    rest = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lean(open_links(similarity)), "a long, b long")
     links = links.union(scratch.put(rest.distinct(), "rest"))
     scratch.drop("sources", "sets")
     labels = components(scratch, links)

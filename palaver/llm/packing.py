@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows
+from palaver.llm.shared import arrow_rows, lean
 
 LENGTH = 2048
 END_ID = 1
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizers_dir: str | None = Non
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     arrow_rows(docs.sparkSession, 2000)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA + ", ids array<int>" * with_ids)
     first = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     return rows.select(*first, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *["ids"] * with_ids)
 

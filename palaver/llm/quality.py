@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows
+from palaver.llm.shared import arrow_rows, lean
 
 MAX_TRAIN_DOCS = 4000
 STEPS, RATE, PENALTY = 250, 0.08, 1e-3
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRA
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select("quality", "text")
     arrow_rows(docs.sparkSession, 2000)
-    rows = texts.mapInArrow(run, "quality int, lines binary").collect()
+    rows = texts.mapInArrow(lean(run), "quality int, lines binary").collect()
     rows.sort(key=lambda r: (r.quality, bytes(r.lines)))  # the same sum in any order of tasks
     lines = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES) + 1).astype(float) for r in rows]
     if not lines:
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(*names).withColumn(text, F.col(text).cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

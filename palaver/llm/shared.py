@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -47,9 +49,24 @@ class Scratch:
             remove(self.spark, self.paths.pop(n))
 
 
+def lean(run):
+    """run over Arrow batches, giving freed memory back to the system after each: workers live on between stages."""
+
+    def batches(incoming):
+        libc = ctypes.CDLL(None)
+        for out in run(incoming):
+            yield out
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return batches
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Bounds the Arrow batches that Python operators get, for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palaver.llm.shared import Scratch, arrow_rows, fresh_path
+from palaver.llm.shared import Scratch, arrow_rows, fresh_path, lean
 
 #: Fixed so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -81,14 +81,14 @@ def write_warc(scratch: Scratch, pages: DataFrame, path: str, min_bytes: int = M
 
     arrow_rows(pages.sparkSession, 500)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    found = pages.select("page_id", "html").mapInArrow(digests, "page_id long, payload_digest string, payload_bytes long")
+    found = pages.select("page_id", "html").mapInArrow(lean(digests), "page_id long, payload_digest string, payload_bytes long")
     # Only pages with an equal, earlier payload need a word from elsewhere; the pairs stay small.
     found = scratch.put(found.where(F.col("page_id").isNotNull()), "digests")
     firsts = found.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     firsts = scratch.put(firsts.where("first < last").drop("last"), "firsts")
     copies = found.join(firsts, ["payload_digest", "payload_bytes"]).where("first < page_id")
     copies = copies.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "first"))).alias("firsts"))
-    made = pages.join(copies, "page_id", "left").select("page_id", "url", "html", "firsts").mapInArrow(records, "value binary")
+    made = pages.join(copies, "page_id", "left").select("page_id", "url", "html", "firsts").mapInArrow(lean(records), "value binary")
     lines = made.select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\u0000").option("maxRecordsPerFile", PART_ROWS).text(path)
 
@@ -148,7 +148,7 @@ def build_index(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "offset", "length", "record_id", "url", "payload_digest", "record_type"])
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(run, INDEX)
+    return files.mapInArrow(lean(run), INDEX)
 
 
 RECORD = "record_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -188,7 +188,7 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = GAP_
                 i = j
 
     ranges = selected.select("file", "offset", "length")
-    return ranges.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    return ranges.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(lean(run), RECORD)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
