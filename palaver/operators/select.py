@@ -80,7 +80,7 @@ def greedy_reassign(overflow: DataFrame, pool: DataFrame, counts: DataFrame) ->
     what exceeds the caps comes here, and the pool has one row per voice. Ties take the first in
     pool order. A slot without an eligible character gets null.
     """
-    table = pool.join(counts, "name", "left").select(F.array_sort(F.collect_list(F.struct("position", "name", "gender", "protected", F.coalesce("files", F.lit(0)).alias("files")))).over(Window.partitionBy()).alias("pool")).limit(1)
+    table = pool.join(counts, "name", "left").agg(F.array_sort(F.collect_list(F.struct("position", "name", "gender", "protected", F.coalesce("files", F.lit(0)).alias("files")))).alias("pool"))
     rows = overflow.join(F.broadcast(table), F.lit(True)).withColumn("_all", F.lit(0))
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:

@@ -39,13 +39,27 @@ def scan_json(spark: SparkSession, root: str, schema: str, excluded=EXCLUDED) ->
     return rows
 
 
-def malformed_files(spark: SparkSession, root: str, schema: str, excluded=EXCLUDED) -> DataFrame:
-    """Paths of JSON files that hold nothing or do not parse."""
-    parsed = scan_json(spark, root, schema, excluded).where("_corrupt_record is null").select("path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select(relative(root).alias("path"))
+def malformed_files(spark: SparkSession, root: str, excluded=EXCLUDED) -> DataFrame:
+    """Paths of JSON files that hold nothing or do not parse.
+
+    Spark's scans pass over files of no bytes, so those are taken from the folder's listing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
+    text = F.col("content").cast("string")
+    bad = F.try_parse_json(text).isNull() | ~text.rlike(r"\S")
+    files = files.select(relative(root).alias("path"), bad.alias("bad")).where("bad").select("path")
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, listing, empty = fs.makeQualified(top).toString(), fs.listFiles(top, True), []
+    while listing.hasNext():
+        f = listing.next()
+        name = f.getPath().toString()
+        if f.getLen() == 0 and name.endswith(".json"):
+            empty.append((name.removeprefix(base).lstrip("/"),))
+    files = files.union(spark.createDataFrame(empty, "path string"))
     for part in excluded:
         files = files.where(~F.contains(F.col("path"), F.lit(part)))
-    return files.join(parsed, "path", "left_anti")
+    return files
 
 
 def conversation_turns(files: DataFrame) -> DataFrame:
