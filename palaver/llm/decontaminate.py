@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows
+from palaver.llm.shared import arrow_rows, lean
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 WALKS, TABLES, PLACES = 6, 12, 6
 BLOCK_WORDS = 200_000
 U64 = np.uint64
-_BITS = 20
+#: Bits of a word's slot in a level's vocabulary, and of a hash's slot in a table's mask.
+_BITS, _MASK = 20, 15
 
 
 def ladder(most: int) -> list[int]:
@@ -118,8 +119,8 @@ class Tables:
             tables = []
             for h in walks.keys(flat, starts, width):
                 order = np.argsort(h, kind="stable")
-                mask = np.zeros(1 << _BITS, bool)
-                mask[(h >> U64(64 - _BITS)).astype(np.int64)] = True
+                mask = np.zeros(1 << _MASK, bool)
+                mask[(h >> U64(64 - _MASK)).astype(np.int64)] = True
                 tables.append((h[order], order, mask))
             allowed = int(edits(np.array([max(len(self.items[i]) for i in own)]), similarity)[0])
             known = np.zeros(1 << _BITS, np.uint8)
@@ -141,7 +142,7 @@ class Tables:
             if not len(starts):
                 continue
             for h, (sorted_, order, mask) in zip(self.walks.keys(words, starts, width), tables, strict=True):
-                near = np.flatnonzero(mask[(h >> U64(64 - _BITS)).astype(np.int64)])
+                near = np.flatnonzero(mask[(h >> U64(64 - _MASK)).astype(np.int64)])
                 if not len(near):
                     continue
                 lo, hi = np.searchsorted(sorted_, h[near]), np.searchsorted(sorted_, h[near], "right")
@@ -225,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         def run(batches, ids=ids, items=items):
             index = Tables(list(ids), list(items), similarity, Walks(walks, tables, places))
             for b in batches:
-                for at, part in tx.chunks(b.column(1), 3 << 20):
+                for at, part in tx.chunks(b.column(1), 1 << 20):
                     words, rows, _, _ = tx.words(tx.plain(part))
                     got = index.matches(words, rows)
                     if got:
@@ -235,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                             ["doc_id", "item_id", "first_word", "words", "item_words", "edits"],
                         )
 
-        found = texts.mapInArrow(run, MATCH)
+        found = texts.mapInArrow(lean(run), MATCH)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], MATCH)
@@ -253,12 +254,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
             index = Tables(list(ids), list(items), similarity, Walks(walks, tables, places))
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                for at, part in tx.chunks(b.column(at_text), 3 << 20):
+                for at, part in tx.chunks(b.column(at_text), 1 << 20):
                     words, rows, _, _ = tx.words(tx.plain(part))
                     clean[[at + m[0] for m in index.matches(words, rows)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 
