@@ -142,7 +142,7 @@ def render(turns: list[tuple[str, str]]) -> str:
 def format_chats(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
     """Adds n_turns, roles, contents and rendered to rows that hold a transcript each."""
     added = ("n_turns", "roles", "contents", "rendered")
-    names = [c for c in transcripts.columns if c not in added]
+    names = [c for c in transcripts.columns if c.lower() not in added]
     at = names.index(text)
 
     def run(batches):

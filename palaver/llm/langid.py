@@ -158,7 +158,7 @@ def train(docs: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Model:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, in place of columns of these names."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at_text = names.index(text)
 
     def run(batches):

@@ -113,9 +113,9 @@ class Matcher:
 
 
 def scan_headers(files: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """files (path, text and more) without text, with own, cosine and share of header words."""
+    """files (path, text and more) without text, with _own, _score and _share: license, its cosine, share of header words."""
     matcher = Matcher(*document_frequencies(files))
-    keep = [c for c in files.columns if c not in ("text", "own", "cosine", "share")]
+    keep = [c for c in files.columns if c.lower() not in ("text", "_own", "_score", "_share")]
 
     def run(batches):
         for b in batches:
@@ -125,12 +125,12 @@ def scan_headers(files: DataFrame, cosine: float = COSINE) -> DataFrame:
             for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)):
                 text = texts[int(i)].as_py()
                 own[i], score[i], share[i] = headers(matcher, text, cosine)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(own, pa.string()), pa.array(score), pa.array(share)], [*keep, "own", "cosine", "share"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(own, pa.string()), pa.array(score), pa.array(share)], [*keep, "_own", "_score", "_share"])
 
     arrow_rows(files.sparkSession, 2000)
     rows = files.select(*keep, F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
-    return rows.mapInArrow(lean(run), schema + ", own string, cosine double, share double")
+    return rows.mapInArrow(lean(run), schema + ", _own string, _score double, _share double")
 
 
 def headers(matcher: Matcher, text: str, cosine: float) -> tuple[str | None, float, float]:
@@ -157,18 +157,18 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
     scratch = Scratch(files.sparkSession)
     found = scan_headers(files, cosine).withColumn("_folder", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
     found = scratch.put(found, "headers")
-    is_file = F.col("own").isNotNull() & F.col("_folder").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("share") >= file_share))
-    owners = found.where(is_file).groupBy(F.col("_folder").alias("above")).agg(F.max(F.struct("cosine", "own")).alias("given"))
+    is_file = F.col("_own").isNotNull() & F.col("_folder").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("_share") >= file_share))
+    owners = found.where(is_file).groupBy(F.col("_folder").alias("above")).agg(F.max(F.struct("_score", "_own")).alias("given"))
     folders = found.select("_folder").where("_folder is not null").distinct()
     above = folders.select("_folder", F.explode(ancestors(F.col("_folder"))).alias("x")).select("_folder", "x.above", "x.depth")
-    given = above.join(owners, "above").groupBy("_folder").agg(F.max(F.struct("depth", "given")).alias("g")).select("_folder", F.col("g.given.own").alias("_license"), F.col("g.given.cosine").alias("_cosine"))
+    given = above.join(owners, "above").groupBy("_folder").agg(F.max(F.struct("depth", "given")).alias("g")).select("_folder", F.col("g.given._own").alias("_license"), F.col("g.given._score").alias("_cosine"))
     given = scratch.put(given, "given")
     if given.count() <= MAX_BROADCAST_DIRS:
         given = F.broadcast(given)
     out = found.join(given, "_folder", "left")
-    origin = F.when(F.col("own").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited")
-    keep = [c for c in files.columns if c not in ("text", "license", "cosine", "origin", "own", "share")]
-    return out.select(*keep, F.coalesce("own", "_license").alias("license"), F.when(F.col("own").isNotNull(), F.col("cosine")).otherwise(F.col("_cosine")).alias("cosine"), origin.alias("origin"))
+    origin = F.when(F.col("_own").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited")
+    keep = [c for c in files.columns if c.lower() not in ("text", "license", "cosine", "origin")]
+    return out.select(*keep, F.coalesce("_own", "_license").alias("license"), F.when(F.col("_own").isNotNull(), F.col("_score")).otherwise(F.col("_cosine")).alias("cosine"), origin.alias("origin"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

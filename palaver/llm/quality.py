@@ -66,6 +66,10 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for table in _COUNTERS:
         packed = _sums(table[data], starts, ends)
         counts += [((packed >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)).astype(float) for i in range(3)]
+    for i in np.flatnonzero(ends - starts >= 1 << 21):  # too long for the packed counters
+        each = np.bincount(data[starts[i] : ends[i]], minlength=256)
+        for k, kind in enumerate(_KINDS):
+            counts[k][i] = sum(int(each[b]) for b in range(256) if kind(b))
     size = np.maximum(counts[8], 1)
     share = [c / size for c in counts[:8]]
     lowered = tx.plain(texts)
@@ -234,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRA
 
 def score(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """docs with a column score, in place of one of that name."""
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c.lower() != "score"]
     at_text = names.index(text)
 
     def run(batches):

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Where spark.checkpoint.dir is unset, as in tests; emptied of own tables when Python ends.
 LOCAL_SHARED = "file:///tmp/checkpoints"
+_local: set[str] = set()
+
+
+@atexit.register
+def _clear() -> None:
+    for path in _local:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/palaver-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/palaver-{name}-{uuid.uuid4().hex}"
+    if path.startswith(LOCAL_SHARED):
+        _local.add(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:

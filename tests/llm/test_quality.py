@@ -33,6 +33,9 @@ def test_lines_count():
     f, size, rows = quality.line_features(pa.array(["", None, "a b\nc", "\n\n", "é" * 30 + "\nx × y\n— z"]))
     assert np.diff(rows).tolist() == [1, 1, 2, 3, 3] and len(f) == len(size) == 10 and np.isfinite(f).all()
     assert size.tolist() == [0, 0, 3, 1, 0, 0, 0, 60, 6, 5]
+    long, short = (quality.line_features(pa.array([t]))[0][0] for t in ("aB3 é.!" * 400_000, "aB3 é.!" * 40_000))
+    shares = slice(1, 10)
+    assert np.allclose(long[shares], short[shares], atol=1e-6)
 
 
 def test_held_out_accuracy(spark):

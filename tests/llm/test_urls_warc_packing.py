@@ -23,7 +23,7 @@ URLS = [
 @pytest.mark.parametrize("most", [2000, 3])
 def test_urls(spark, monkeypatch, most):
     monkeypatch.setattr(urls, "MAX_INLINE_RULES", most)
-    df = spark.createDataFrame([(i, u[0], "old") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(i, u[0], "old") for i, u in enumerate(URLS)], "page_id long, url string, RULE string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
     assert got == {i: u[1:] for i, u in enumerate(URLS)}
     assert urls.filter_urls(df.limit(0)).count() == 0
