@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palaver.llm import decontaminate, langid, minhash, packing, quality
 from palaver.llm.shared import Scratch
 
-#: A language must hold at least this share of a text.
-LEAST_SHARE = 0.5
+#: The least score of a language; of four, a text without any sign of one scores a quarter.
+LEAST_SHARE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents most of which is in one of the learned languages."""
+    """Keeps documents in one of the learned languages; texts without a letter go."""
     model = langid.train(docs, quality.fold(F.col("doc_id"), 4) != 2)
     found = langid.identify(docs, model)
     return _columns(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)), docs)
