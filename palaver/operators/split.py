@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.functions.hashing import assign, bucket
 
@@ -27,9 +27,10 @@ def report(rows: DataFrame, group: str = "group_key", seconds: Column | None = N
     aggs += [F.sum(turns).alias("turns")] if turns is not None else []
     aggs += [F.round(F.sum(seconds) / 3600, 6).alias("hours")] if seconds is not None else []
     aggs += [F.round(F.avg(silent.cast("double")), 6).alias("silent_share")] if silent is not None else []
+    # The total is one of the few rows of the roll-up, so its window sorts nothing large.
     out = rows.rollup("split").agg(*aggs).withColumn("split", F.coalesce("split", F.lit("total")))
-    total = out.where("split = 'total'").select(F.col("conversations").alias("_all"))
-    return out.join(F.broadcast(total), F.lit(True)).withColumn("share", F.round(F.col("conversations") / F.col("_all"), 6)).drop("_all")
+    total = F.max(F.when(F.col("split") == "total", F.col("conversations"))).over(Window.partitionBy())
+    return out.withColumn("share", F.round(F.col("conversations") / total, 6))
 
 
 def leakage(rows: DataFrame, group: str = "group_key") -> DataFrame:
