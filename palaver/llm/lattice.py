@@ -99,7 +99,7 @@ def _points(vectors: DataFrame) -> DataFrame:
 
 
 def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
-    """One row per point, table and cell: home or probed."""
+    """One row per point, table and cell, at home or probed; the vectors stay behind."""
 
     def run(batches):
         for b in batches:
@@ -107,19 +107,15 @@ def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
             labels = b.column(2).to_numpy().view(np.uint64)
             for dim in np.unique(lengths):
                 own = np.flatnonzero(lengths == dim)
-                part = b.take(pa.array(own))
-                unit = normed(_matrix(part.column(1), int(dim)))
+                unit = normed(_matrix(b.column(1).take(pa.array(own)), int(dim)))
+                point = b.column(0).take(pa.array(np.repeat(own, probes + 1)))
                 for t in range(tables):
                     key = tx.mix(cells(unit, t, probes) + tx.mix(labels[own])[:, None]).view(np.int64)
-                    rows = pa.array(np.repeat(np.arange(len(own)), probes + 1))
                     home = np.zeros(key.shape, bool)
                     home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.ravel()), pa.array(home.ravel()), pa.array(np.full(key.size, t, np.int32)), part.column(0).take(rows), part.column(2).take(rows), part.column(3).take(rows), part.column(1).take(rows)],
-                        ["cell", "home", "t", "node", "label_key", "n", "embedding"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(home.ravel()), pa.array(np.full(key.size, t, np.int32)), point], ["cell", "home", "t", "point"])
 
-    return points.select("node", "embedding", "label_key", "n").mapInArrow(lean(run), "cell long, home boolean, t int, node long, label_key long, n long, embedding array<double>")
+    return points.select("point", "embedding", "label_key").mapInArrow(lean(run), "cell long, home boolean, t int, point long")
 
 
 def _compare(cosine: float, probes: int):
@@ -206,11 +202,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     arrow_rows(spark, 4000)
     rows = scratch.put(_points(vectors), "rows")
     points = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    points = scratch.put(points.withColumn("label_key", F.xxhash64("label")), "points")
-    keys = _keys(points, tables, probes)
+    points = scratch.put(points.withColumns({"label_key": F.xxhash64("label"), "point": F.monotonically_increasing_id()}), "points")
+    keys = scratch.put(_keys(points, tables, probes), "keys")
     many = keys.select("cell", "home").groupBy("cell").agg(F.count("*").alias("c"), F.max("home").alias("h")).where("h and c > 1")
     many = scratch.put(many.select("cell", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "cells")
-    met = keys.join(many, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Only what shares a cell with another point gets its vector.
+    met = keys.join(many, "cell").join(points.select("point", "node", "n", "label_key", "embedding"), "point")
+    met = met.withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     # In a pair of two blocks, links inside either block are left to that block's own pair.
     met = met.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
