@@ -237,3 +237,14 @@ def fillers(text: Column, words=FILLERS) -> Column:
     """Those of the words that the text holds, in the given order."""
     own = F.split(F.lower(empty(text)), r"[^\p{L}\p{N}_]+")
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.array_contains(own, w))
+
+
+def matches_keywords(keywords, *texts: Column) -> Column:
+    """Any keyword occurs in any of the texts, in any case."""
+    low = [F.lower(empty(t)) for t in texts]
+    return reduce(lambda a, b: a | b, (F.contains(t, F.lit(k.lower())) for t in low for k in keywords), F.lit(False))
+
+
+def padded(values: Column, length: int, pad) -> Column:
+    """An array cut or filled at its end to a length."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(pad), length)), 1, length)

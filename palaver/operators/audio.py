@@ -7,11 +7,13 @@ is a plain column, so rules on it are native filters.
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 KNOWN_RATES = (8000, 16000, 22050, 24000, 44100, 48000)
@@ -122,6 +124,16 @@ def tilt(samples: np.ndarray, db_per_octave: float, pivot: float, rate: int) ->
     return np.clip(np.fft.irfft(spectrum * gain, len(samples)), -1, 1)
 
 
+def assemble(parts: list[tuple[float, np.ndarray]], background: np.ndarray | None, rate: int, background_gain: float = 0.3) -> np.ndarray:
+    """Signals at their start seconds over a looped background; the sum is scaled down if it would clip."""
+    length = max((round(at * rate) + len(x) for at, x in parts), default=0)
+    out = np.zeros(length) if background is None or not len(background) else background_gain * np.resize(background, length)
+    for at, x in parts:
+        start = round(at * rate)
+        out[start : start + len(x)] += x
+    return out / max(1.0, np.abs(out).max(initial=0))
+
+
 #: Perturbations by name: (samples, rate) to samples.
 PERTURBATIONS = {
     "eq_tilt": lambda x, rate: tilt(x, 3.0, 1000.0, rate),
@@ -236,6 +248,42 @@ def perturb(files: DataFrame, names=tuple(PERTURBATIONS)) -> DataFrame:
     return rows.select("path", "content", "perturbation").mapInPandas(run, "path string, perturbation string, variant_id string, content binary")
 
 
+def fragments(files: DataFrame, seconds: float = 60.0, least_rate: int = 44_100) -> DataFrame:
+    """path, i, content of each whole stretch of so many seconds, of files of at least the rate."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                x, rate = decode(bytes(content))
+                n = int(seconds * rate)
+                if rate >= least_rate and n:
+                    yield pd.DataFrame([(path, i, encode(x[i * n : (i + 1) * n], rate)) for i in range(len(x) // n)], columns=["path", "i", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, i int, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes name, content to single files below a folder that all executors reach; returns what was written.
+
+    A file is written beside its place and then renamed, so a task that runs again leaves whole files.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for f in frames:
+            sizes = []
+            for name, content in zip(f["name"], f["content"], strict=True):
+                path = f"{root}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}.part") as out:
+                    out.write(bytes(content))
+                store.move(part, path)
+                sizes.append(len(content))
+            yield pd.DataFrame({"name": f["name"], "bytes": sizes})
+
+    return files.select("name", "content").mapInPandas(run, "name string, bytes long")
+
+
 _FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("effective_bandwidth_hz", "spectral_slope_db", "estimated_snr_db", "clipping_rate", "median_f0_hz")])
 
 

@@ -88,6 +88,29 @@ def scan_slots(spark: SparkSession, root: str, block: str) -> DataFrame:
     return rows.select("path", F.col("e.key").alias("slot"), "e.value.*").where("backstory_file is not null")
 
 
+def find_variants(variations: DataFrame, variant: str | None = None, conversation_type: str | None = None) -> DataFrame:
+    """Variations of one variant and conversation type; None takes all."""
+    kinds = {"single_user": "single", "multi_user": "couple", "background_noise": "couple"}
+    if variant is not None:
+        variations = variations.where(F.col("variant_name") == variant)
+    if conversation_type is not None:
+        variations = variations.where(F.col("variant_type") == kinds[conversation_type])
+    return variations
+
+
+def only_missing(wanted: DataFrame, outputs: DataFrame, key: str, skip_long: bool = False) -> DataFrame:
+    """What has no output yet; with skip_long, without the `_long` takes."""
+    rows = wanted.where(~F.col(key).endswith("_long")) if skip_long else wanted
+    return rows.join(outputs.select(key), key, "left_anti")
+
+
+def files_for_scenario(files: DataFrame, keywords, *texts: str) -> DataFrame:
+    """Files whose texts hold a keyword; all of them if none does."""
+    marked = files.withColumn("_hit", tx.matches_keywords(keywords, *map(F.col, texts)))
+    some = marked.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_some"))
+    return marked.join(F.broadcast(some), F.lit(True)).where("_hit or not _some").drop("_hit", "_some")
+
+
 def config_index(spark: SparkSession, root: str) -> DataFrame:
     """key to config: stems and variation names; the first in path order wins, a stem before its names."""
     rows = scan_json(spark, root, SCENARIO).where("_corrupt_record is null")

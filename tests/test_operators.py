@@ -167,3 +167,27 @@ def test_streaming_twin(spark, tmp_path):
     assert got == want
     c = spark.range(1).select(suppress.chunks(F.lit(10), 4).alias("c")).head().c
     assert [(x.start, x.length) for x in c] == [(0, 4), (4, 4), (8, 2)]
+
+
+def test_audio_files(spark, tmp_path):
+    rate = 44_100
+    x = 0.2 * np.sin(np.arange(3 * rate) / 50)
+    df = spark.createDataFrame([("a.wav", bytearray(audio.encode(x, rate))), ("low.wav", bytearray(audio.encode(x, 8000)))], "path string, content binary")
+    parts = audio.fragments(df, seconds=1.0)
+    assert sorted((r.path, r.i) for r in parts.collect()) == [("a.wav", 0), ("a.wav", 1), ("a.wav", 2)]
+    named = parts.select(F.format_string("x/%s_%d.wav", "path", "i").alias("name"), "content")
+    done = audio.write_files(named, f"file://{tmp_path}").collect()
+    assert len(done) == 3 and all((tmp_path / r.name).stat().st_size == r.bytes for r in done) and len(list((tmp_path / "x").iterdir())) == 3
+    scene = audio.assemble([(0.5, np.ones(100)), (0.5, np.ones(50))], np.ones(10), 100)
+    assert len(scene) == 150 and np.abs(scene).max() == 1 and len(audio.assemble([], None, 100)) == 0
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([("rain", "soft"), ("street", None)], "title string, note string")
+    assert [r.title for r in tables.files_for_scenario(df, ["SOFT"], "title", "note").collect()] == ["rain"]
+    assert tables.files_for_scenario(df, ["sea"], "title", "note").count() == 2
+    keys = lambda *x: spark.createDataFrame([(k,) for k in x], "k string")
+    assert [r.k for r in tables.only_missing(keys("a", "b_long", "c"), keys("c"), "k", skip_long=True).collect()] == ["a"]
+    from palaver.functions import text as tx
+
+    assert df.select(tx.padded(F.array(F.lit(1), F.lit(2)), 4, 0)).head()[0] == [1, 2, 0, 0] and df.select(tx.padded(F.array(F.lit(1), F.lit(2)), 1, 0)).head()[0] == [1]
