@@ -78,17 +78,32 @@ def filler_words(turns: DataFrame, words=tx.FILLERS, assistant: str = "assistant
 
 
 def all_errors(turns: DataFrame, wake_word: str, fillers=tx.FILLERS, assistant: str = "assistant") -> DataFrame:
-    """Error records of every detector over turns (conv_id, turn, role, text)."""
-    message = lambda s: F.lit(s)
-    short = short_dialogues(conversation_sizes(turns)).where("type = 'short_dialogue'")
-    twice = duplicate_dialogues(turns).select(F.col("first").alias("conv_id"), "copies")
+    """Error records of every detector over turns (conv_id, turn, role, text).
+
+    Rules on turns are one array of records on each turn, after one window; rules on whole
+    conversations group the same rows, so both come from one scan and one shuffle.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    role = F.col("role") == assistant
+    rows = turns.select("conv_id", "turn", "role", "text").withColumns({"i": F.row_number().over(order) - 1, "before": F.lag("text").over(order), "k": F.sum(role.cast("int")).over(order)})
+    held = tx.fillers(F.col("text"), fillers)
+    uncalled = role & (F.col("k") == 1) & (F.col("i") > 0) & ~tx.mentions(F.col("before"), wake_word)
+    rule = lambda when, severity, kind, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message")))
+    found = F.array(
+        rule(F.trim(tx.empty(F.col("text"))) == "", "warning", "empty_utterance", F.lit("no content")),
+        rule(F.trim(tx.empty(F.col("role"))) == "", "warning", "missing_speaker", F.lit("no speaker")),
+        rule(uncalled, "critical", "invocation_missing", F.lit("not addressed before")),
+        rule(role & (F.size(held) > 0), "critical", "filler_words", F.concat_ws(", ", held)),
+    )
+    of_turns = rows.withColumn("e", F.explode(F.filter(found, lambda e: e.isNotNull()))).select("conv_id", "turn", "e.*")
+    contents = F.transform(F.sort_array(F.collect_list(F.struct("i", tx.empty(F.col("text")).alias("text")))), lambda t: t["text"])
+    whole = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(contents, " ").cast("binary")).alias("hash"))
+    short = whole.where(F.col("turns") < MIN_TURNS)
+    twice = whole.groupBy("hash").agg(F.count("*").alias("copies"), F.min("conv_id").alias("conv_id")).where("copies > 1")
     parts = [
+        of_turns.select("severity", "type", F.lit(None).cast("string").alias("scenario"), F.col("conv_id").cast("string"), F.col("turn").cast("long"), "message"),
         _error(short, "critical", "short_dialogue", F.concat(F.col("turns").cast("string"), F.lit(" turns"))),
-        _error(empty_utterances(turns), "warning", "empty_utterance", message("no content")),
-        _error(missing_speakers(turns), "warning", "missing_speaker", message("no speaker")),
         _error(twice, "warning", "duplicate_dialogue", F.concat(F.col("copies").cast("string"), F.lit(" copies"))),
-        _error(missing_invocations(turns, wake_word, assistant), "critical", "invocation_missing", message("not addressed before")),
-        _error(filler_words(turns, fillers, assistant), "critical", "filler_words", F.concat_ws(", ", "fillers")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

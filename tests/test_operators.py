@@ -191,3 +191,13 @@ def test_lookups(spark):
     from palaver.functions import text as tx
 
     assert df.select(tx.padded(F.array(F.lit(1), F.lit(2)), 4, 0)).head()[0] == [1, 2, 0, 0] and df.select(tx.padded(F.array(F.lit(1), F.lit(2)), 1, 0)).head()[0] == [1]
+
+
+def test_all_errors_agree_with_single_detectors(spark):
+    df = tables.table(spark, "/root/testdata/sf0.001", "conversations").withColumn("text", F.when(F.col("turn") != 3, F.col("text")))
+    every = {r.type: r.n for r in quality.all_errors(df, "that", ("ly", "er")).groupBy("type").agg(F.count("*").alias("n")).collect()}
+    alone = {
+        "short_dialogue": quality.short_dialogues(quality.conversation_sizes(df)).count(), "empty_utterance": quality.empty_utterances(df).count(),
+        "invocation_missing": quality.missing_invocations(df, "that").count(), "filler_words": quality.filler_words(df, ("ly", "er")).count(), "duplicate_dialogue": quality.duplicate_dialogues(df).count(),
+    }
+    assert every == {k: n for k, n in alone.items() if n}
