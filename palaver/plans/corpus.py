@@ -10,7 +10,7 @@ from palaver.operators import quality, split, turns
 from palaver.plans.conversations import HASH, _TIMED, WAKE, conversations, timed
 from palaver.sources.tables import table
 
-SEED = "intelligent-wakeup-v1"
+SEED = "corpus-v1"
 FILLERS = ("thst", "ly", "er")
 
 

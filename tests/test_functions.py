@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,10 +15,13 @@ def test_groups_and_buckets(spark):
     names = ["no_va_a", "a_long", "a_variant2_long", "no_va_b_variant12", "long", "x_longish", "a_long_variant3_b"]
     assert values(spark, names, tx.group_base) == ["a", "a", "a", "b", "long", "x_longish", "a_long_variant3_b"]
     assert values(spark, ["k"], lambda c: hashing.bucket("s", c)) == [0.7780919706255458]
-    keys = ["HomeTasks/single/weekday_cooking", "CreativeHobbies/single/writing_workshop", "PetCare/couple/emergency_response"]
-    at = lambda c: hashing.bucket("intelligent-wakeup-v1", c)
-    assert values(spark, keys, at) == [0.6730781157264725, 0.8587493826923465, 0.9726706866959516]
-    assert values(spark, keys, lambda c: hashing.assign(at(c))) == ["train", "validation", "test"]
+    keys = [f"k{i}" for i in range(400)]
+    want = [int.from_bytes(hashlib.sha256(f"seed-v1:{k}".encode()).digest()[:8], "big") / 2**64 for k in keys]
+    at = lambda c: hashing.bucket("seed-v1", c)
+    assert values(spark, keys, at) == want
+    split = lambda p: "train" if p < 0.8 else "validation" if p < 0.8 + 0.1 else "test"
+    assert values(spark, keys, lambda c: hashing.assign(at(c))) == [split(p) for p in want]
+    assert values(spark, ["a"], lambda c: hashing.shuffled("s", c)) == [hashlib.sha1(b"s:a").hexdigest()]
 
 
 def test_names_addressed(spark):
