@@ -8,7 +8,7 @@ rendered in one canonical form. All transcripts of a batch advance one line at a
 
 Nulls: a null or blank transcript has no turns and renders as "". In the query, a null role
 is a turn without a marker, null text is empty, a row without conv_id or turn is a transcript
-of its own, and repeated rows are repeated turns. A conversation is read in segments of
+of its own, and repeated rows count once. A conversation is read in segments of
 SEGMENT turn numbers, so that no task gathers an unbounded one; a segment starts anew.
 """
 
@@ -164,7 +164,7 @@ def transcripts(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     line = F.concat(F.when(F.length(role) > 0, F.concat(F.initcap(role), F.lit(": "))).otherwise(F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     alone = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.xxhash64("turn", "role", "text"))
     rows = conversations.select("conv_id", F.floor(F.col("turn") / segment).alias("segment"), alone.alias("alone"), F.struct("turn", "role", line.alias("line")).alias("row"))
-    rows = rows.groupBy("conv_id", "segment", "alone").agg(F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]), "\n").alias("transcript"))
+    rows = rows.groupBy("conv_id", "segment", "alone").agg(F.array_join(F.transform(F.sort_array(F.collect_set("row")), lambda r: r["line"]), "\n").alias("transcript"))
     return rows.drop("alone")
 
 
