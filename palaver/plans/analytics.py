@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palaver.functions import text as tx
 from palaver.functions.hashing import bucket, shuffled
 from palaver.operators import incremental, ratings, select, turns, vectors
-from palaver.plans.conversations import HASH, conversations, labelled, scored
+from palaver.plans.conversations import HASH, labelled
 from palaver.sources.tables import table
 from palaver.streaming.suppress import batch_state
 
