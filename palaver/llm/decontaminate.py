@@ -1,17 +1,12 @@
-"""Benchmark decontamination by CGK embedding and bit sampling (operator 1).
+"""Benchmark decontamination by exact pieces of the items (operator 1).
 
-Texts are strings of words. The random walk of Chakraborty, Goldenberg and Koucký maps such a
-string to a longer one: at each step it writes the word it stands on and moves on or stays by
-a random bit of that word and step; strings a few edits apart then differ in few places, so
-edit distance becomes Hamming distance. Every table samples a few places of an embedding and
-hashes what stands there. Windows of every benchmark item are put into the tables; windows of
-the documents look them up, and each hit is verified by the exact edit distance between the
-item and the best stretch of the document around the hit.
-
-Windows are item-sized: of a ladder of lengths, an item takes the longest for which any
-passage of the item's length must contain a whole window of the document's grid, whatever the
-passage's place. Windows in which too few words occur in the benchmark at all, to be within
-the allowed edits, are passed over; that bound is exact and loses nothing.
+Texts are strings of words. An item of n words is held if some passage is at most e edits away,
+e being the edits that the similarity allows. The item is cut into e + 1 pieces; an edit spoils
+one piece at most, so every such passage has a piece word for word, and nothing is lost. The
+first n // (e + 1) words of each piece are put into a table by their hash (two to four words at
+a similarity of 0.8); documents look up their runs of so many words. A hit whose surroundings
+have too few of the item's words is passed over, which is exact too; the others are verified by
+the exact edit distance between the item and the best stretch of the document around the hit.
 
 The benchmark's tables are broadcast in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each, so what is sent never grows with the data.
@@ -30,27 +25,10 @@ from palaver.llm import text as tx
 from palaver.llm.shared import arrow_rows, lean
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-WALKS, TABLES, PLACES = 6, 12, 6
 BLOCK_WORDS = 200_000
 U64 = np.uint64
-#: Bits of a word's slot in a level's vocabulary, and of a hash's slot in a table's mask.
-_BITS, _MASK = 20, 15
-
-
-def ladder(most: int) -> list[int]:
-    """Window lengths, each about a quarter longer than the one before."""
-    out = [2]
-    while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
-    return out
-
-
-def stride(width: int) -> int:
-    return max(1, width // 5)
-
-
-def width_for(n: int, widths: list[int]) -> int:
-    return max(w for w in widths if w + stride(w) - 1 <= n)
+#: Bits of a hash's slot in a table's mask.
+_MASK = 20
 
 
 def edits(n, similarity: float):
@@ -58,99 +36,43 @@ def edits(n, similarity: float):
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-class Walks:
-    """The shared randomness: bits by word and step, sampled places by table."""
-
-    def __init__(self, walks: int, tables: int, places: int, seed: int = 7):
-        self.walks, self.tables, self.places = walks, tables, places
-        self.seeds = tx.mix(np.arange(1, walks + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95) + U64(seed))
-        self.odd = tx.mix(np.arange(places, dtype=np.uint64) + U64(99)) | U64(1)
-        self.picks = np.sort(np.random.Generator(np.random.PCG64(seed)).random((walks, tables, places)), axis=2)
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, width: int):
-        """For each walk and table: hashes of the windows words[start:start + width].
-
-        A walk is over after 3 * width steps at most; places are sampled from the first two
-        thirds, where nearly every walk still stands inside its window. Beyond it, 0 is written.
-        """
-        steps, n = 2 * width, len(starts)
-        own = np.zeros((n, width + 1), np.uint64)
-        own[:, :width] = words[starts[:, None] + np.arange(width)]
-        own = own.ravel()
-        first = np.arange(n) * (width + 1)
-        last = first + width
-        for k in range(self.walks):
-            coins = tx.mix(own ^ self.seeds[k])
-            at, taken = first.copy(), {}
-            places = (self.picks[k] * steps).astype(int)
-            wanted = set(places.ravel().tolist())
-            for j in range(max(wanted) + 1):
-                if j and j % 64 == 0:
-                    coins = tx.mix(coins)
-                if j in wanted:
-                    taken[j] = own[at]
-                at = np.minimum(at + ((coins[at] >> U64(j % 64)) & U64(1)).astype(np.int64), last)
-            for t in range(self.tables):
-                h = np.full(n, U64(width * 1_000_003 + k * 1009 + t + 1))
-                for i, p in enumerate(places[t].tolist()):
-                    h += taken[p] * self.odd[i]
-                yield tx.mix(h)
-
-
 class Tables:
     """One block of the benchmark: its words and its hash tables."""
 
-    def __init__(self, ids: list, texts: list, similarity: float, walks: Walks):
+    def __init__(self, ids: list, texts: list, similarity: float):
         hashes, rows, _, _ = tx.words(tx.plain(pa.array(texts, pa.string())))
-        self.ids, self.similarity, self.walks = ids, similarity, walks
+        self.ids, self.similarity = ids, similarity
         self.items = [hashes[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        widths = ladder(max((len(x) for x in self.items), default=2))
-        by_width: dict[int, list] = {}
-        for i, item in enumerate(self.items):
+        self.allowed = edits(np.diff(rows), similarity)
+        by_length: dict[int, list] = {}
+        for i, (item, most) in enumerate(zip(self.items, self.allowed.tolist(), strict=True)):
             if len(item) >= LEAST_WORDS:
-                by_width.setdefault(width_for(len(item), widths), []).append(i)
+                offset = np.arange(most + 1) * len(item) // (most + 1)
+                by_length.setdefault(len(item) // (most + 1), []).append((np.full(most + 1, i), offset))
         self.levels = []
-        for width, own in sorted(by_width.items()):
-            flat = np.concatenate([self.items[i] for i in own])
-            base = np.concatenate(([0], np.cumsum([len(self.items[i]) for i in own])))
-            item = np.concatenate([np.full(len(self.items[i]) - width + 1, i) for i in own])
-            offset = np.concatenate([np.arange(len(self.items[i]) - width + 1) for i in own])
-            starts = offset + np.concatenate([np.full(len(self.items[i]) - width + 1, b) for i, b in zip(own, base, strict=False)])
-            tables = []
-            for h in walks.keys(flat, starts, width):
-                order = np.argsort(h, kind="stable")
-                mask = np.zeros(1 << _MASK, bool)
-                mask[(h >> U64(64 - _MASK)).astype(np.int64)] = True
-                tables.append((h[order], order, mask))
-            allowed = int(edits(np.array([max(len(self.items[i]) for i in own)]), similarity)[0])
-            known = np.zeros(1 << _BITS, np.uint8)
-            known[(flat >> U64(64 - _BITS)).astype(np.int64)] = 1
-            self.levels.append((width, max(1, width - allowed), item, offset, known, tables))
+        for length, own in sorted(by_length.items()):
+            item, offset = (np.concatenate(x) for x in zip(*own, strict=True))
+            h = tx.sequence_hash(hashes, rows[item] + offset, rows[item] + offset + length)
+            order = np.argsort(h, kind="stable")
+            mask = np.zeros(1 << _MASK, bool)
+            mask[(h >> U64(64 - _MASK)).astype(np.int64)] = True
+            self.levels.append((length, h[order], item[order], offset[order], mask))
 
     def candidates(self, words: np.ndarray, rows: np.ndarray):
-        """(row, item, position of the item's start in words) of every hit, once each."""
-        slot, found = (words >> U64(64 - _BITS)).astype(np.int64), []
-        for width, least, item, offset, vocabulary, tables in self.levels:
-            known = np.concatenate(([0], np.cumsum(vocabulary[slot], dtype=np.int64)))
-            grid = stride(width)
-            count = np.maximum(0, (np.diff(rows) - width) // grid + 1)
+        """(row, item, position of the item's start in words if nothing is edited before the piece) of every hit, once each."""
+        found = []
+        for length, sorted_, item, offset, mask in self.levels:
+            count = np.maximum(0, np.diff(rows) - length + 1)
             total = np.concatenate(([0], np.cumsum(count)))
-            row = np.repeat(np.arange(len(count)), count)
-            starts = rows[:-1][row] + (np.arange(total[-1]) - total[:-1][row]) * grid
-            full = known[starts + width] - known[starts] >= least
-            row, starts = row[full], starts[full]
-            if not len(starts):
-                continue
-            for h, (sorted_, order, mask) in zip(self.walks.keys(words, starts, width), tables, strict=True):
-                near = np.flatnonzero(mask[(h >> U64(64 - _MASK)).astype(np.int64)])
-                if not len(near):
-                    continue
-                lo, hi = np.searchsorted(sorted_, h[near]), np.searchsorted(sorted_, h[near], "right")
-                n = hi - lo
-                w = np.repeat(near, n)
-                e = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-                if len(w):
-                    found.append(np.stack((row[w], item[e], starts[w] - offset[e]), axis=1))
+            starts = np.arange(total[-1]) + np.repeat(rows[:-1] - total[:-1], count)
+            h = tx.sequence_hash(words, starts, starts + length)
+            near = np.flatnonzero(mask[(h >> U64(64 - _MASK)).astype(np.int64)])
+            lo, hi = np.searchsorted(sorted_, h[near]), np.searchsorted(sorted_, h[near], "right")
+            n = hi - lo
+            w = np.repeat(near, n)
+            e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+            if len(w):
+                found.append(np.stack((np.searchsorted(total, w, "right") - 1, item[e], starts[w] - offset[e]), axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -158,15 +80,21 @@ class Tables:
         hits, best = self.candidates(words, rows), {}
         for i in np.unique(hits[:, 1]):
             own = self.items[i]
-            n, most = len(own), int(edits(np.array([len(own)]), self.similarity)[0])
+            n, most = len(own), int(self.allowed[i])
             at = hits[hits[:, 1] == i]
             # Hits of one row whose stretches overlap heavily need one comparison.
             key = np.unique(np.stack((at[:, 0], (at[:, 2] - rows[at[:, 0]]) // (n // 2 + 1)), axis=1), axis=0)
             row = key[:, 0]
             lo = np.maximum(rows[row], rows[row] + key[:, 1] * (n // 2 + 1) - most)
             hi = np.minimum(rows[row + 1], rows[row] + (key[:, 1] + 1) * (n // 2 + 1) + n + most)
-            for part in range(0, len(row), 4096):
-                cut = slice(part, part + 4096)
+            ends = np.cumsum(hi - lo)
+            inside = words[np.arange(ends[-1]) + np.repeat(lo - ends + (hi - lo), hi - lo)]
+            of_item = np.concatenate(([0], np.cumsum(np.isin(inside, own))))
+            enough = of_item[ends] - of_item[ends - (hi - lo)] >= n - most
+            row, lo, hi = row[enough], lo[enough], hi[enough]
+            step = max(1, (1 << 20) // n)
+            for part in range(0, len(row), step):
+                cut = slice(part, part + step)
                 cost, start, end = best_stretch(own, words, lo[cut], hi[cut])
                 for r, c, s, e in zip(row[cut], cost, start, end, strict=True):
                     if c <= most and ((r, i) not in best or (c, s) < best[r, i][:2]):
@@ -215,7 +143,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
 MATCH = "doc_id long, item_id long, first_word long, words long, item_words long, edits long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item that it holds: the best passage and its edits."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     arrow_rows(docs.sparkSession, 2000)
@@ -224,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         ids, items = zip(*block, strict=True)
 
         def run(batches, ids=ids, items=items):
-            index = Tables(list(ids), list(items), similarity, Walks(walks, tables, places))
+            index = Tables(list(ids), list(items), similarity)
             for b in batches:
                 for at, part in tx.chunks(b.column(1), 1 << 20):
                     words, rows, _, _ = tx.words(tx.plain(part))
@@ -243,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return out.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; one pass without a shuffle for each block."""
     arrow_rows(docs.sparkSession, 2000)
     at_text = docs.columns.index("text")
@@ -251,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         ids, items = zip(*block, strict=True)
 
         def run(batches, ids=ids, items=items):
-            index = Tables(list(ids), list(items), similarity, Walks(walks, tables, places))
+            index = Tables(list(ids), list(items), similarity)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for at, part in tx.chunks(b.column(at_text), 1 << 20):

@@ -73,3 +73,21 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert len(list(dc.blocks(bench))) > 3 and sorted(map(tuple, dc.contaminated(docs, bench).collect())) == whole
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 == dc.contaminated(docs.limit(0), bench).count()
     assert dc.decontaminate(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_all_allowed_edits_at_every_length(spark):
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    items, texts = [], []
+    for n in (5, 9, 38, 100, 300):
+        for kind in ("substitute", "delete", "mixed"):
+            for _ in range(10):
+                items.append(some(n))
+                v = list(items[-1])
+                for p in sorted(r.sample(range(n), int(0.2 * n)), reverse=True):
+                    v[p : p + 1] = [] if kind == "delete" or kind == "mixed" and p % 3 == 0 else [f"x{p}"] if kind == "substitute" or p % 3 == 1 else [v[p], f"x{p}"]
+                texts.append(" ".join(some(50) + v + some(50)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(m.doc_id, m.item_id) for m in dc.contaminated(docs, bench).collect()}
+    assert got >= {(i, i) for i in range(len(items))}
