@@ -11,8 +11,8 @@ the exact edit distance between the item and the best stretch of the document ar
 The benchmark's tables are broadcast in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each, so what is sent never grows with the data.
 
-Nulls: a null text matches nothing and stays; a row without doc_id is judged by its text. Items with fewer than five words are left
-out, as they occur anywhere. Repeated items and documents are matched one by one.
+Nulls: a null text matches nothing and stays; a row without doc_id is judged by its text. Items without a
+word are left out; those of one to four words allow no edits at 0.8 and match exactly. Repeated items and documents are matched one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from palaver.llm import text as tx
 from palaver.llm.shared import arrow_rows, lean
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
+SIMILARITY, LEAST_WORDS = 0.8, 1
 BLOCK_WORDS = 200_000
 U64 = np.uint64
 #: Bits of a hash's slot in a table's mask.

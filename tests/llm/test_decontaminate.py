@@ -91,3 +91,10 @@ def test_all_allowed_edits_at_every_length(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     got = {(m.doc_id, m.item_id) for m in dc.contaminated(docs, bench).collect()}
     assert got >= {(i, i) for i in range(len(items))}
+
+
+def test_short_items_match_exactly(spark):
+    docs = spark.createDataFrame([(0, "say Yes now"), (1, "who wrote it"), (2, "so, who wrote Hamlet? he"), (3, "who wrote the Hamlet"), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "yes"), (1, "Who wrote Hamlet?"), (2, "?!"), (3, "it now")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.first_word, r.words, r.edits) for r in dc.contaminated(docs, bench).collect()} == {(0, 0, 1, 1, 0), (2, 1, 1, 3, 0)}
+    assert {r.doc_id for r in dc.decontaminate(docs, bench).collect()} == {1, 3, 4}
