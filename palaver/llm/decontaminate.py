@@ -11,7 +11,8 @@ the exact edit distance between the item and the best stretch of the document ar
 The benchmark's tables are broadcast in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each, so what is sent never grows with the data.
 
-Nulls: a null text matches nothing and stays; a row without doc_id is judged by its text. Items without a
+Nulls: a null text matches nothing and stays; a row without doc_id is judged by its text, and an
+item without item_id by its text too, with a null item_id in the report. Items without a
 word are left out; those of one to four words allow no edits at 0.8 and match exactly. Repeated items and documents are matched one by one.
 """
 
@@ -128,7 +129,7 @@ def best_stretch(item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.nda
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
     """Lists of (item_id, text) with at most `most` words each (a longer item is a list of its own)."""
     rows, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     for r in items.toLocalIterator():
         n = len(r.text) // 2 + 1  # a word and its space have two characters at least
         if rows and size + n > most:

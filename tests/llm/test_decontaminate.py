@@ -98,3 +98,10 @@ def test_short_items_match_exactly(spark):
     bench = spark.createDataFrame([(0, "yes"), (1, "Who wrote Hamlet?"), (2, "?!"), (3, "it now")], "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.first_word, r.words, r.edits) for r in dc.contaminated(docs, bench).collect()} == {(0, 0, 1, 1, 0), (2, 1, 1, 3, 0)}
     assert {r.doc_id for r in dc.decontaminate(docs, bench).collect()} == {1, 3, 4}
+
+
+def test_items_without_id_count(spark):
+    docs = spark.createDataFrame([(0, "x one two three four five six y"), (1, "something else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three four five six"), (1, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in dc.contaminated(docs, bench).collect()] == [(0, None, 0)]
+    assert [r.doc_id for r in dc.decontaminate(docs, bench).collect()] == [1]
