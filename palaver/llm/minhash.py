@@ -1,9 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and verification (operator 6).
 
 A document is the multiset of its five-word shingles; a shingle's weight is how often it
-occurs. Each shingle sends a Poisson process of arrivals with its weight as rate, each
+occurs. Its signature is banded once with these weights and, where a shingle repeats, once more
+with all weights 1. Each shingle sends a Poisson process of arrivals with its weight as rate, each
 arrival to one of the signature's registers; a register keeps the shingle that came first.
-Two registers agree with the probability Jaccard similarity of the two documents. A document
+Two registers agree with the probability Jaccard similarity of the two documents, which with
+weights of 1 is the plain Jaccard similarity, whatever repeats how often. A document
 stops as soon as all its registers are filled and no later arrival can be earlier.
 
 Documents with equal words are one text from then on. Texts that share a band are candidates;
@@ -121,7 +123,14 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
                 row, element, weight = weighted(shingles, at_shingles)
                 n = len(part)
                 keys = band_hashes(probminhash(row, element, weight, n, bands * rows), bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                # Where no shingle repeats, the signature of weights 1 is the same one.
+                again = np.flatnonzero(np.bincount(row, weight > 1, n))
+                own = np.isin(row, again)
+                plain = band_hashes(probminhash(np.searchsorted(again, row[own]), element[own], np.ones(own.sum(), np.int64), len(again), bands * rows), bands, rows).view(np.int64)
+                both = np.concatenate((keys, keys), axis=1)
+                both[again, bands:] = plain
+                new = np.concatenate((np.ones((n, bands), bool), both[:, bands:] != keys), axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(new.sum(axis=1)))), pa.int32()), pa.array(both[new]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, n), pa.array(_fingerprints(hashes, at_rows), pa.binary()), pa.array(np.bincount(row, minlength=n)), lists],
                     ["doc_id", "print", "shingles", "bands"],

@@ -71,6 +71,17 @@ def test_large_group_in_blocks_keeps_links(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block=20).collect()} == brute(texts)
 
 
+def test_unequal_repeats(spark):
+    r, texts = random.Random(6), {}
+    for i in range(12):
+        w = [f"w{r.randrange(10**6)}" for _ in range(308)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join(w + w[-8:] * 99)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts)
+    assert len(set(want.values())) == 12
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()} == want
+
+
 def test_odd_tables(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d E f."), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
