@@ -9,7 +9,12 @@ rendered in one canonical form. All transcripts of a batch advance one line at a
 Nulls: a null or blank transcript has no turns and renders as "". In the query, a null role
 is a turn without a marker, null text is empty, a row without conv_id or turn is a transcript
 of its own, and repeated rows count once. A conversation is read in segments of
-SEGMENT turn numbers, so that no task gathers an unbounded one; a segment starts anew.
+SEGMENT turn numbers, so that no task gathers an unbounded one. Segments are units of work only:
+each sends a summary (its first name and blank lines, then for every state before it the best
+scores of the states at its end), a fold over the summaries gives each segment the first
+name of the conversation and its first and last state on the best path of the whole, and
+"rendered" of the segments in order, put together, is the rendering of the whole conversation.
+A turn belongs to the segment where it begins; what a segment continues comes first in it.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows, lean
+from palaver.llm.shared import Scratch, arrow_rows, lean
 
 SEGMENT = 256
+#: Ids of conversations of several segments that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
 ROLES = ("system", "user", "assistant")
 #: Words that name a role before a colon or in a tag.
 NAMES = {
@@ -59,22 +66,25 @@ BY_ASKS = _log([[19, 1], [10, 10], [17, 3], [19, 1], [15, 5], [18, 2]])
 BY_SHORT = _log([[12, 8], [9, 11], [12, 8], [12, 8], [11, 9], [12, 8]])
 
 
-def lines_of(text: str) -> tuple[list[tuple[str, str]], list[int], list[bool], list[int]]:
-    """((line, line without its marker), marker, blank line before, features) of the lines that are not blank."""
-    contents, markers, blanks, features, names, blank = [], [], [], [], {}, False
+def lines_of(text: str, name: str | None = None, before: bool | None = None) -> tuple:
+    """((line, line without its marker), marker, blank line before, features) of the lines that are not blank; first name; blank line at the end.
+
+    name: the first name so far. before: whether a blank line ends what came before, null where nothing did.
+    """
+    contents, markers, blanks, features, names, blank = [], [], [], [], {name: 0} if name else {}, bool(before)
     for line in text.split("\n"):
         line = END_TAG.sub("", line.rstrip())
         if not line.strip():
-            blank = bool(contents)
+            blank = bool(contents) or before is not None
             continue
         kind, m, bare = NONE, MARKER.match(line), line
         if m:
-            name = m[1].lower()
-            role = _ROLE_OF.get(name)
+            word = m[1].lower()
+            role = _ROLE_OF.get(word)
             if role:
                 kind = 1 + ROLES.index(role)
             elif m[1][0].isupper() and len(m[1].split()) <= 3:
-                kind = FIRST + min(1, names.setdefault(name, len(names)))
+                kind = FIRST + min(1, names.setdefault(word, len(names)))
             if kind != NONE:
                 bare = line[m.end() :]
         contents.append((line, bare))
@@ -82,7 +92,16 @@ def lines_of(text: str) -> tuple[list[tuple[str, str]], list[int], list[bool], l
         blanks.append(blank)
         features.append((bare.endswith("?"), len(bare) < 60))
         blank = False
-    return contents, markers, blanks, features
+    return contents, markers, blanks, features, next(iter(names), None), blank
+
+
+def emissions(every: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Emission scores of the lines of each lines_of(), and their row offsets."""
+    rows = np.concatenate(([0], np.cumsum([len(e[0]) for e in every]))).astype(np.int64)
+    marker = np.concatenate([np.array(e[1], int) for e in every])
+    blank = np.concatenate([np.array(e[2], int) for e in every])
+    asks, short = np.concatenate([np.array(e[3], int).reshape(-1, 2) for e in every]).T
+    return BY_MARKER.T[marker] + BY_BLANK.T[blank] + BY_ASKS.T[asks] + BY_SHORT.T[short], rows
 
 
 def viterbi(emission: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -115,13 +134,10 @@ def viterbi(emission: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def parse(texts: list[str | None]) -> list[list[tuple[str, str]]]:
     """Turns (role, content) of each transcript."""
     every = [lines_of(t or "") for t in texts]
-    rows = np.concatenate(([0], np.cumsum([len(e[0]) for e in every])))
-    if not rows[-1]:
+    if not any(e[0] for e in every):
         return [[] for _ in texts]
-    marker = np.concatenate([np.array(e[1], int) for e in every])
-    blank = np.concatenate([np.array(e[2], int) for e in every])
-    asks, short = np.concatenate([np.array(e[3], int).reshape(-1, 2) for e in every]).T
-    state = viterbi(BY_MARKER.T[marker] + BY_BLANK.T[blank] + BY_ASKS.T[asks] + BY_SHORT.T[short], rows)
+    emission, rows = emissions(every)
+    state = viterbi(emission, rows)
     out = []
     for e, a, b in zip(every, rows[:-1], rows[1:], strict=True):
         turns: list[tuple[str, list[str]]] = []
@@ -168,6 +184,120 @@ def transcripts(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return rows.drop("alone")
 
 
+def path_scores(emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(7 x 6) best scores from START or a state before the lines to each state of the last line, and the first line's state on that path."""
+    best = np.concatenate((START[None], STEP)) + emission[0]
+    first = np.tile(np.arange(6), (7, 1))
+    for e in emission[1:]:
+        both = best[:, :, None] + STEP[None]
+        arg = both.argmax(axis=1)
+        best = both.max(axis=1) + e
+        first = np.take_along_axis(first, arg, axis=1)
+    return best, first
+
+
+def _names_fold(table: pa.Table) -> pa.Table:
+    """For each segment of a conversation: the first name so far, and whether a blank line ends what came before."""
+    name, before, out = None, None, []
+    for r in table.sort_by("segment").to_pylist():
+        out.append({"id": r["id"], "part": r["segment"], "name": name, "before": before})
+        name = name or r["own"]
+        if r["lines"]:
+            before = r["blank"]
+        elif before is not None:
+            before = True
+    return pa.Table.from_pylist(out, pa.schema([("id", pa.string()), ("part", pa.int64()), ("name", pa.string()), ("before", pa.bool_())]))
+
+
+def _path_fold(table: pa.Table) -> pa.Table:
+    """For each segment with lines: its first and last state on the conversation's best path, whether it goes on in the next, and whether it continues an empty turn."""
+    rows = table.sort_by("segment").to_pylist()
+    best = [np.array(r["best"]).reshape(7, 6) for r in rows]
+    first = [np.array(r["first"]).reshape(7, 6) for r in rows]
+    score = [best[0][0]]
+    for b in best[1:]:
+        score.append((score[-1][:, None] + b[1:]).max(axis=0))
+    last, out, on = int(score[-1].argmax()), [], False
+    for k in range(len(rows) - 1, -1, -1):
+        came = int((score[k - 1] + best[k][1:, last]).argmax()) if k else -1
+        start = int(first[k][came + 1, last])
+        follows = k > 0 and start >= 3
+        out.append({"id": rows[k]["id"], "part": rows[k]["segment"], "start": start, "stop": last, "follows": follows, "on": on, "bare": follows and came < 3 and rows[k - 1]["empty"]})
+        last, on = came, follows
+    return pa.Table.from_pylist(out, pa.schema([("id", pa.string()), ("part", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("follows", pa.bool_()), ("on", pa.bool_()), ("bare", pa.bool_())]))
+
+
+def _piece(e: tuple, state: list[int], follows: bool, on: bool, bare: bool) -> tuple[int, str, str]:
+    """(turns that begin, their roles, rendering) of a segment."""
+    turns, head = [], []
+    for content, s, gap in zip(e[0], state, e[2], strict=True):
+        if s < 3 or not (turns or follows):
+            turns.append((ROLES[s % 3], [content[1]]))
+        else:
+            (turns[-1][1] if turns else head).append("\n" * gap + content[0])
+    text = "\n".join(head)
+    close = "\n<|end|>\n"
+    pieces = ([text.lstrip() if bare else "\n" + text] if follows else []) + [f"<|{r}|>\n" + "\n".join(c).strip() for r, c in turns]
+    return len(turns), ",".join(r for r, _ in turns), close.join(pieces) + ("" if on else close)
+
+
+def _lines(b) -> list[tuple]:
+    return [lines_of(t or "", n, x) for t, n, x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+
+
+def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> DataFrame:
+    """conv_id, segment, n_turns, roles and rendered of conversations of several segments; turn is not null."""
+    parts = scratch.put(transcripts(rows, segment).select(F.col("conv_id").cast("string").alias("id"), F.col("segment").cast("long").alias("part"), "transcript"), "parts")
+
+    def names(batches):
+        for b in batches:
+            every = [lines_of(t or "") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([e[4] for e in every], pa.string()), pa.array([bool(e[0]) for e in every]), pa.array([e[5] for e in every])], ["id", "segment", "own", "lines", "blank"])
+
+    def paths(batches):
+        for b in batches:
+            ids, at, best, first, empty = [], [], [], [], []
+            for i, k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _lines(b), strict=True):
+                if e[0]:
+                    x, y = path_scores(emissions([e])[0])
+                    ids.append(i), at.append(k), best.append(x.ravel().tolist()), first.append(y.ravel().tolist()), empty.append(not e[0][-1][1].strip())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(first, pa.list_(pa.int32())), pa.array(empty, pa.bool_())], ["id", "segment", "best", "first", "empty"])
+
+    def pieces(batches):
+        for b in batches:
+            out = []
+            for e, start, stop, *flags in zip(_lines(b), *(b.column(k).to_pylist() for k in range(5, 10)), strict=True):
+                if not e[0]:
+                    out.append((0, "", ""))
+                    continue
+                emission, at = emissions([e])
+                emission[0, np.arange(6) != start] = -np.inf
+                emission[-1, np.arange(6) != stop] = -np.inf
+                out.append(_piece(e, viterbi(emission, at).tolist(), *flags))
+            n, roles, rendered = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(roles, pa.string()), pa.array(rendered, pa.string())], ["conv_id", "segment", "n_turns", "roles", "rendered"])
+
+    arrow_rows(rows.sparkSession, 2000)
+    known = parts.mapInArrow(lean(names), "id string, segment long, own string, lines boolean, blank boolean").groupBy("id").applyInArrow(_names_fold, "id string, part long, name string, before boolean")
+    named = scratch.put(parts.join(known, ["id", "part"]).select("id", "part", "transcript", "name", "before"), "named")
+    found = named.mapInArrow(lean(paths), "id string, segment long, best array<double>, first array<int>, empty boolean").groupBy("id").applyInArrow(_path_fold, "id string, part long, start int, stop int, follows boolean, on boolean, bare boolean")
+    whole = scratch.put(named.join(found, ["id", "part"], "left").select("id", "part", "transcript", "name", "before", "start", "stop", "follows", "on", "bare"), "whole")
+    return whole.mapInArrow(lean(pieces), "conv_id string, segment long, n_turns int, roles string, rendered string")
+
+
+def format_conversations(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """conv_id, segment, n_turns, roles and rendered; segments of a conversation are parts of one rendering."""
+    scratch = Scratch(conversations.sparkSession)
+    at = F.floor(F.col("turn") / segment)
+    ids = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y")
+    ids = scratch.put(ids.select("conv_id", F.lit(True).alias("several")), "several")
+    n = ids.count()
+    marked = conversations.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "conv_id", "left")
+    out = format_chats(transcripts(marked.where("several is null or turn is null"), segment)).select("conv_id", "segment", "n_turns", F.array_join("roles", ",").alias("roles"), "rendered")
+    if not n:
+        return out
+    return out.unionByName(format_long(marked.where("several and turn is not null"), scratch, segment).withColumn("conv_id", F.col("conv_id").cast(out.schema["conv_id"].dataType)))
+
+
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
-    rows = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return format_chats(rows).select("conv_id", "segment", "n_turns", F.array_join("roles", ",").alias("roles"), "rendered")
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

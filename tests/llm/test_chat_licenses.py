@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -47,6 +48,23 @@ def test_odd_conversations(spark):
     assert chat.format_chats(chat.transcripts(df.limit(0))).count() == 0
 
 
+def test_segments_are_parts_of_one_rendering(spark):
+    r, rows = random.Random(5), []
+    lines = ["Ann: Hi, who are you?", "Bob: I am Bob.", "Could you help?", "  some more words that look like prose and do not ask anything", "", "Cleo: well", "\n", "Yes.", "user:", "assistant: "]
+    for c in range(30):
+        rows += [(c, t, r.choice((None, None, "user", "assistant", "")) if c % 3 else None, "\n".join(r.choice(lines) for _ in range(r.randint(1, 3)))) for t in range(r.choice((3, 9, 40)))]
+    rows += [(99, t, "system" if not t else None, ("Bob: I am." if t % 2 == 0 else "Ann: Who?") if t else "Be brief.") for t in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for segment, some in ((4, df.where("conv_id < 99")), (256, df.where("conv_id = 99"))):
+        whole = {x.conv_id: x.transcript for x in chat.transcripts(some, 10**6).collect()}
+        turns = dict(zip(whole, chat.parse(list(whole.values()))))
+        got = {}
+        for x in sorted(chat.format_conversations(some, segment).collect(), key=lambda x: (x.conv_id, x.segment)):
+            g = got.setdefault(x.conv_id, [0, [], ""])
+            g[0], g[1], g[2] = g[0] + x.n_turns, g[1] + [y for y in x.roles.split(",") if y], g[2] + x.rendered
+        assert got == {c: [len(t), [y for y, _ in t], chat.render(t)] for c, t in turns.items()}
+
+
 def test_license_scan(spark):
     mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][0]
     body = "Some words about nothing. " * 20
