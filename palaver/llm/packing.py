@@ -7,7 +7,8 @@ none needs padding; a loader batches pieces of one bucket, which are equally lon
 No shuffle is needed, and a task holds one slice of texts at a time.
 
 Null text: empty, one piece with the end id alone. A null doc_id stays null. Repeated rows
-are packed one by one. Other columns of the input are not read.
+are packed one by one. A very long text is encoded whole, in the memory of one task, whatever it
+repeats. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +29,25 @@ END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 #: Texts of these characters alone split alike in both libraries; any other goes to tokenizers.
 COMMON = tx.regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
+#: Longer runs of blanks, or of anything else, overflow tiktoken's splitter; they go to tokenizers.
+LONGEST_RUN = 10_000
+_RUNS = tx.regex.compile(r"\s+|\S+")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
 
+def long_run(text: str) -> bool:
+    return len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _RUNS.finditer(text))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(folder: str | None, vocabulary: str):
     """encode(list of texts) -> lists of ids, as tokenizers gives for the vocabulary's .json.
 
     The ranks file beside it holds the same vocabulary for tiktoken, whose encoder takes an
-    eighth of the time. Texts with other than common characters, or with the string of the
-    special token, are encoded by tokenizers itself.
+    eighth of the time. Texts with other than common characters, with the string of the
+    special token, or with a run of blanks or of other characters beyond LONGEST_RUN, are
+    encoded by tokenizers itself.
     """
     import public_tokenizers
     import tiktoken
@@ -53,7 +62,7 @@ def tokenizer(folder: str | None, vocabulary: str):
     def encode(texts: list[str]) -> list:
         out = []
         for t in texts:
-            if COMMON.fullmatch(t) and "<|" not in t:
+            if COMMON.fullmatch(t) and "<|" not in t and not long_run(t):
                 out.append(fast.encode_ordinary(t))
             else:
                 out.append(exact.encode(t, add_special_tokens=False).ids)

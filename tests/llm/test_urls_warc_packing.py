@@ -79,6 +79,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "x" + "\t" * 1_100_000, "\n" * 1_200_000 + "y", "ab" * 600_000, "=" * 1_000_000 + " z"], ids=["spaces", "tabs", "lines", "letters", "signs"])
+def test_packing_of_long_runs(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [1]
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True).orderBy("start").collect()
+    assert [x for r in rows for x in r.ids] == ids
+
+
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 10_000])
 def test_pieces_cover(n):
     at = 0
