@@ -20,15 +20,64 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("most", [2000, 3])
-def test_urls(spark, monkeypatch, most):
-    monkeypatch.setattr(urls, "MAX_INLINE_RULES", most)
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_urls(spark, block):
     df = spark.createDataFrame([(i, u[0], "old") for i, u in enumerate(URLS)], "page_id long, url string, RULE string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, block=block).collect()}
     assert got == {i: u[1:] for i, u in enumerate(URLS)}
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_hosts_are_closed(spark):
+    rules = [urls.prefix_rule("block", "com", ""), urls.prefix_rule("allow", "Good.com", "/a")]
+    df = spark.createDataFrame([(1, "http://com.evil.org/"), (2, "http://x.com"), (3, "http://good.com/ab"), (4, "http://good.com/A"), (5, "http://notgood.com/a"), (6, "x://com"), (6, "x://com"), (7, "http://com:80/")], "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urls.filter_urls(df, rules=rules).fillna("-", ["rule"]).collect())
+    assert got == [(1, "-", "allow"), (2, "com", "block"), (3, "good.com/a", "allow"), (4, "com", "block"), (5, "com", "block"), (6, "com", "block"), (6, "com", "block"), (7, "-", "allow")]
+
+
+@pytest.mark.parametrize("pattern, url, fits", [
+    ("||ads.", "http://ads.x.com/", True), ("||ads.", "http://my.ads.x.com/", True), ("||ads.", "http://loads.x.com/", False), ("||ads.", "http://x.com/ads.js", False),
+    ("^pixel.gif|", "http://x.com/pixel.gif", True), ("^pixel.gif|", "http://x.com/pixel.gif?a", False), ("^pixel.gif|", "http://x.com/bigpixel.gif", False),
+    ("?affiliate=", "http://x.com/?AFFILIATE=1", True), ("&affiliate=", "http://x.com/?affiliate=1", False), ("|//free-*-download.", "http://free-big-download.x/", True),
+    ("^bet^", "http://x.com/bet", True), ("^bet^", "http://x.com/#bet", False), ("a*b", "http://x/a\nb", True), ("ab*", "http://x/cabd", True),
+])
+def test_patterns(spark, pattern, url, fits):
+    rule = urls.pattern_rule(pattern)
+    target = "//" + url.split("://", 1)[1].split("#")[0].lower()
+    index = urls.Index([rule], urls.Counter())
+    assert (index.pattern({"", *urls._TOKEN.findall(target)}, target) is not None) is fits
+
+
+def test_many_rules_against_brute_force(spark):
+    """Every rule tried on every URL, with tokens that most URLs and most rules share."""
+    import random
+    import re
+
+    r = random.Random(3)
+    words = ["com", "en", "www", "index", "example"] + [f"w{k}" for k in range(400)]
+    word = lambda: r.choice(words[:5]) if r.random() < 0.4 else r.choice(words)
+    seen = lambda: f"http{r.choice(('', 's'))}://" + ".".join(word() for _ in range(r.randint(1, 4))) + "".join(r.choice("/-_.") + word() for _ in range(r.randint(0, 4))) + r.choice(("", "/", "?" + word() + "=" + word(), "#" + word()))
+    every = [seen() for _ in range(600)]
+    rules = []
+    for _ in range(5000):
+        k = r.random()
+        if k < 0.5:
+            rules.append(urls.prefix_rule(r.choice(("block", "allow")), ".".join(word() for _ in range(r.randint(1, 3))), r.choice(("", "/", "/" + word(), "/" + word() + "/", "/" + word()[:2]))))
+        else:
+            body = "".join(r.choice(("^", "*", ".", "/", "-", "")) + word() for _ in range(r.randint(1, 3)))
+            rules.append(urls.pattern_rule(r.choice(("", "", "@@")) + r.choice(("", "|", "||")) + body + r.choice(("", "^", "|", "*"))))
+    rules.append(urls.pattern_rule("^*^"[:2] + "w3*7"))
+    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(every)), "page_id long, url string"), rules=rules).collect()
+    for row in rows:
+        rest = every[row.page_id].split("://")[1].split("#")[0]
+        host, path = re.match("[^/?]*", rest)[0], re.match("[^/?]*([^?]*)", rest)[1]
+        fits = [(len(x.name), x.name, x.verdict) for x in rules if x.prefix and re.match(x.regex, host + path)]
+        shown = {x.verdict for x in rules if not x.prefix and re.search(x.regex, "//" + rest)}
+        want = max(fits)[1:] if fits else (None, "allow" if "allow" in shown or not shown else "block")
+        assert (row.host, row.path, row.rule, row.verdict) == (host, path, *want)
+    assert len({row.rule for row in rows}) > 50 and {"allow", "block"} == {row.verdict for row in rows if row.rule is None}
+
+
 def test_warc_round_trip(spark):
     big = "é" * 300_000
     rows = [(5, "http://a/", "x"), (3, None, "x"), (9, "http://b/\r\nc", "x"), (4, "u", None), (8, "v", ""), (None, "w", "x"), (10, "z", big), (11, "z", "y"), (11, "z", "x"), (6, "q", "y"), (6, "q", "y")]
