@@ -1,33 +1,38 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory (operator 7).
 
-A header is a sentence or line that holds one of the trigger words. Its words, weighted by
-term frequency and inverse document frequency over all texts, are compared by cosine with
-each template; the best one at or above the threshold is the header's license, and the best
-header is the file's. A file is a license file of its directory if its name says so or most
-of its words are headers. Files without a header take the license of the nearest directory
-above them that has a license file: directories are joined with the directories above them,
-so no join is on files alone.
+Every sentence or line of a text, and every two that follow each other, is a possible header,
+and the whole text is a possible license file. Their words, weighted by term frequency and
+inverse document frequency over all texts, are compared by cosine with the header templates
+and with whole license texts; words that no template has weigh as words that no text has. The
+best template at or above the threshold gives the text its license. Nothing is looked for
+first: comparisons are skipped only where the template's weights on the words in common bound
+the cosine below the threshold, which is exact.
+
+A text is a license file of its directory if its path says so, or if as a whole it is close to
+a whole license text. Texts without a license of their own take that of the nearest directory
+above them with a license file: directories are joined with the directories above them, so no
+join is on files alone.
 
 Nulls: a null text has no header, a null path neither owns nor inherits. Of several license
-files in a directory the highest cosine counts, then the first license by name. Repeated rows
-are judged alike.
+files in a directory the highest cosine counts, then the last license by name; likewise among
+the headers of a text. Repeated rows are judged alike, very long texts whole.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.llm import text as tx
 from palaver.llm.shared import Scratch, arrow_rows, lean
 
 COSINE = 0.6
-FILE_SHARE = 0.5
+FILE_COSINE = 0.8
+#: Different words that a header has in common with its template at least: one word alone says nothing.
+LEAST_SHARED = 2
 MAX_BROADCAST_DIRS = 100_000
 
 #: What license notices commonly say.
@@ -45,18 +50,44 @@ TEMPLATES = {
     "CC0-1.0": ("CC0 1.0 Universal public domain dedication license", "SPDX-License-Identifier: CC0-1.0"),
     "Proprietary": ("Copyright. All rights reserved.",),
 }
-TRIGGER = re.compile(r"licen[sc]e|spdx|copyright|all rights reserved|permission is hereby|redistribut|public domain|creative commons", re.I)
+#: Whole license texts, as license files hold them; GPL and Apache by the notices they ask for.
+FILES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.""",
+}
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([.-][^/]*)?$"
-_SENTENCE = re.compile(r"\n+|(?<=[.!?])\s+")
-_WORD = re.compile(r"\w+")
+#: As the separator of words, but it leaves line ends and the stops of sentences.
+_SEPARATOR = tx.regex.compile(r"[^\p{L}\p{M}\p{N}\n.!?]+")
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\n")] = True
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return tx.SEPARATOR.sub(" ", text.lower()).split()
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    texts = [t for ts in TEMPLATES.values() for t in ts] + list(FILES.values())
+    return sorted({w for t in texts for w in words_of(t)})
 
 
 def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
@@ -65,16 +96,16 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     hashes, _, _, _ = tx.words(pa.array(names, pa.string()))
     order = np.argsort(hashes)
     known = hashes[order]
+    few = _slots(known)
 
     def run(batches):
         count, total = np.zeros(len(names), np.int64), 0
         for b in batches:
             for _, part in tx.chunks(b.column(0)):
                 found, rows, _, _ = tx.words(tx.plain(part))
-                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                hit = known[at] == found
+                hit, at = _look_up(known, few, found)
                 row = np.repeat(np.arange(len(part)), np.diff(rows))[hit]
-                count += np.bincount(np.unique(row * len(known) + at[hit]) % len(known), minlength=len(known))
+                count += np.bincount(np.unique(row * len(known) + at) % len(known), minlength=len(known))
                 total += len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(order, -1)), pa.array(np.append(count, total))], ["word", "n"])
 
@@ -83,67 +114,120 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     return {w: by.get(i, 0) for i, w in enumerate(names)}, by.get(-1, 0)
 
 
-class Matcher:
-    """Sparse unit vectors of the templates, and the weight of any word."""
+def _slots(known: np.ndarray) -> np.ndarray:
+    few = np.zeros(1 << 16, bool)
+    few[(known >> np.uint64(48)).astype(np.int64)] = True
+    return few
 
-    def __init__(self, frequency: dict[str, int], texts: int):
-        self.idf = {w: math.log((texts + 1) / (n + 1)) + 1 for w, n in frequency.items()}
+
+def _look_up(known: np.ndarray, few: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in found, positions in known) of what both have."""
+    some = np.flatnonzero(few[(found >> np.uint64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(known, found[some]), len(known) - 1)
+    same = known[at] == found[some]
+    return some[same], at[same]
+
+
+class Templates:
+    """Sparse unit vectors of one kind of template, and what bounds a cosine with them."""
+
+    def __init__(self, named: list[tuple[str, str]], frequency: dict[str, int], texts: int):
+        names = sorted(frequency)
+        hashes, _, _, _ = tx.words(pa.array(names, pa.string()))
+        order = np.argsort(hashes)
+        self.known, self.few = hashes[order], _slots(hashes)
+        self.idf = np.array([math.log((texts + 1) / (frequency[names[i]] + 1)) + 1 for i in order])
         self.rare = math.log(texts + 1) + 1
-        self.templates = [(name, self.vector(t)) for name, ts in TEMPLATES.items() for t in ts]
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, v) in enumerate(self.templates):
-            for w, x in v.items():
-                self.index.setdefault(w, []).append((k, x))
-
-    def vector(self, text: str) -> dict[str, float]:
-        count: dict[str, int] = {}
-        for w in words_of(text):
-            count[w] = count.get(w, 0) + 1
-        v = {w: (1 + math.log(n)) * self.idf.get(w, self.rare) for w, n in count.items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {w: x / norm for w, x in v.items()}
-
-    def best(self, header: str) -> tuple[float, str | None]:
-        dots: dict[int, float] = {}
-        for w, x in self.vector(header).items():
-            for k, y in self.index.get(w, ()):
-                dots[k] = dots.get(k, 0.0) + x * y
-        k = max(dots, key=lambda k: (dots[k], -k), default=None)
-        return (0.0, None) if k is None else (min(1.0, dots[k]), self.templates[k][0])
-
-
-def scan_headers(files: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """files (path, text and more) without text, with _own, _score and _share: license, its cosine, share of header words."""
-    matcher = Matcher(*document_frequencies(files))
-    keep = [c for c in files.columns if c.lower() not in ("text", "_own", "_score", "_share")]
+        self.names = [n for n, _ in named]
+        self.matrix = np.zeros((len(named), len(names)))
+        for k, (_, t) in enumerate(named):
+            found, _, _, _ = tx.words(tx.plain(pa.array([t])))
+            _, at = _look_up(self.known, self.few, found)
+            word, n = np.unique(at, return_counts=True)
+            self.matrix[k, word] = (1 + np.log(n)) * self.idf[word]
+            self.matrix[k] /= np.linalg.norm(self.matrix[k])
+        #: The most that a word of the text can add to the square of a cosine with any template.
+        self.most = (self.matrix**2).max(axis=0)
+
+    def best(self, hashes: np.ndarray) -> tuple[float, str | None]:
+        """Highest cosine of the words with a template, and that template's license."""
+        word, n = np.unique(hashes, return_counts=True)
+        hit, at = _look_up(self.known, self.few, word)
+        weight = np.full(len(word), self.rare)
+        weight[hit] = self.idf[at]
+        weight = weight * (1 + np.log(n))
+        if not len(hit):
+            return 0.0, None
+        shared = self.matrix[:, at]
+        cosines = shared @ weight[hit] / np.linalg.norm(weight)
+        cosines[(shared > 0).sum(axis=1) < LEAST_SHARED] = 0.0
+        return max((round(c, 9), n) for c, n in zip(cosines.tolist(), self.names, strict=True))
+
+    def search(self, hashes: np.ndarray, hit: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, cosine: float):
+        """(stretch, its best cosine, license) of the stretches hashes[start:end] that reach the cosine.
+
+        hit, at: which of the hashes are words of templates, and which words.
+        """
+        total = np.concatenate(([0.0], np.cumsum(self.most[at])))
+        # Repeated words count more than once here, so the bound is on the safe side.
+        bound = total[np.searchsorted(hit, ends)] - total[np.searchsorted(hit, starts)]
+        for i in np.flatnonzero(bound >= cosine * cosine - 1e-9).tolist():
+            c, name = self.best(hashes[starts[i] : ends[i]])
+            if name is not None and c >= cosine:
+                yield i, c, name
+
+
+class Matcher:
+    def __init__(self, frequency: dict[str, int], texts: int):
+        self.headers = Templates([(name, t) for name, ts in TEMPLATES.items() for t in ts], frequency, texts)
+        self.files = Templates(list(FILES.items()), frequency, texts)
+
+    def judge(self, texts: pa.Array, cosine: float, file_cosine: float):
+        """Per text: license, its cosine, and whether the whole text is a license text."""
+        lowered = tx.plain(texts, _SEPARATOR)
+        hashes, rows, word_starts, _ = tx.words(lowered)
+        data, offsets = tx.raw(lowered)
+        own: list[str | None] = [None] * len(texts)
+        score, whole = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        if not len(hashes):
+            return own, score, whole
+        after = np.append(data[1:], np.uint8(32))
+        breaks = np.flatnonzero((data == 10) | (_ENDS[data] & _BLANK[after])) + 1
+        cuts = np.unique(np.searchsorted(word_starts, np.concatenate((offsets, breaks))))
+        cuts = cuts[cuts < len(hashes)]
+        ends = np.append(cuts[1:], len(hashes))
+        text_of = np.searchsorted(rows, cuts, "right") - 1
+        joined = np.flatnonzero(text_of[1:] == text_of[:-1])
+        starts = np.concatenate((cuts, cuts[joined]))
+        hit, at = _look_up(self.headers.known, self.headers.few, hashes)
+        stretches = (starts, np.concatenate((ends, ends[joined + 1])), np.concatenate((text_of, text_of[joined])))
+        filled = np.flatnonzero(np.diff(rows))
+        for kind, (lo, hi, of), least in ((self.headers, stretches, cosine), (self.files, (rows[filled], rows[filled + 1], filled), file_cosine)):
+            for i, c, name in kind.search(hashes, hit, at, lo, hi, least):
+                r = int(of[i])
+                whole[r] |= kind is self.files
+                if (c, name) > (score[r], own[r] or ""):
+                    own[r], score[r] = name, c
+        return own, score, whole
+
+
+def scan_headers(files: DataFrame, cosine: float = COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
+    """files (path, text and more) without text, with _own, _score and _whole: license, its cosine, whether the text is a license text."""
+    sent = files.sparkSession.sparkContext.broadcast(document_frequencies(files))
+    keep = [c for c in files.columns if c.lower() not in ("text", "_own", "_score", "_whole")]
 
     def run(batches):
+        matcher = Matcher(*sent.value)
         for b in batches:
-            texts = b.column(len(keep))
-            own, score, share = [None] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
-            hit = pc.fill_null(pc.match_substring_regex(texts, TRIGGER.pattern, ignore_case=True), False)
-            for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)):
-                text = texts[int(i)].as_py()
-                own[i], score[i], share[i] = headers(matcher, text, cosine)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(own, pa.string()), pa.array(score), pa.array(share)], [*keep, "_own", "_score", "_share"])
+            for at, part in tx.chunks(b.column(len(keep))):
+                own, score, whole = matcher.judge(part, cosine, file_cosine)
+                rows = [c.slice(at, len(part)) for c in b.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(own, pa.string()), pa.array(score), pa.array(whole)], [*keep, "_own", "_score", "_whole"])
 
     arrow_rows(files.sparkSession, 2000)
     rows = files.select(*keep, F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
-    return rows.mapInArrow(lean(run), schema + ", _own string, _score double, _share double")
-
-
-def headers(matcher: Matcher, text: str, cosine: float) -> tuple[str | None, float, float]:
-    """(license, its cosine, share of the text's words that stand in matching headers)."""
-    score, name, matched = 0.0, None, 0
-    for part in _SENTENCE.split(text):
-        if part and TRIGGER.search(part):
-            s, n = matcher.best(part)
-            if s >= cosine:
-                matched += len(words_of(part))
-                if (s, n) > (score, name or ""):
-                    score, name = s, n
-    return name, score, matched / max(1, len(words_of(text))) if name else 0.0
+    return rows.mapInArrow(lean(run), schema + ", _own string, _score double, _whole boolean")
 
 
 def ancestors(folder):
@@ -152,12 +236,12 @@ def ancestors(folder):
     return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("above"), k.alias("depth")))
 
 
-def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
-    """files without text, with license, cosine and origin: header, inherited or null."""
+def scan(files: DataFrame, cosine: float = COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
+    """files without text, with license, cosine and origin: header, file (the text is a license text), inherited or null."""
     scratch = Scratch(files.sparkSession)
-    found = scan_headers(files, cosine).withColumn("_folder", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
+    found = scan_headers(files, cosine, file_cosine).withColumn("_folder", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
     found = scratch.put(found, "headers")
-    is_file = F.col("_own").isNotNull() & F.col("_folder").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("_share") >= file_share))
+    is_file = F.col("_own").isNotNull() & F.col("_folder").isNotNull() & (F.col("path").rlike(FILE_NAME) | F.col("_whole"))
     owners = found.where(is_file).groupBy(F.col("_folder").alias("above")).agg(F.max(F.struct("_score", "_own")).alias("given"))
     folders = found.select("_folder").where("_folder is not null").distinct()
     above = folders.select("_folder", F.explode(ancestors(F.col("_folder"))).alias("x")).select("_folder", "x.above", "x.depth")
@@ -166,13 +250,13 @@ def scan(files: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHAR
     if given.count() <= MAX_BROADCAST_DIRS:
         given = F.broadcast(given)
     out = found.join(given, "_folder", "left")
-    origin = F.when(F.col("_own").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited")
+    origin = F.when(F.col("_own").isNotNull(), F.when(F.col("_whole"), "file").otherwise("header")).when(F.col("_license").isNotNull(), "inherited")
     keep = [c for c in files.columns if c.lower() not in ("text", "license", "cosine", "origin")]
     return out.select(*keep, F.coalesce("_own", "_license").alias("license"), F.when(F.col("_own").isNotNull(), F.col("_score")).otherwise(F.col("_cosine")).alias("cosine"), origin.alias("origin"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Documents as files: source and language are the directories."""
+    """Documents as files; a source is a directory."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    files = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
     return scan(files).select("doc_id", "path", "license", "cosine", "origin")

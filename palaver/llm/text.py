@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def plain(texts: pa.Array) -> pa.Array:
+def plain(texts: pa.Array, separator: regex.Pattern = SEPARATOR) -> pa.Array:
     """Lower case; texts with characters beyond plain Latin letters get spaces for separators."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
     data, offsets = raw(texts)
@@ -53,7 +53,7 @@ def plain(texts: pa.Array) -> pa.Array:
         return texts
     out = texts.to_pylist()
     for i in rows:
-        out[i] = SEPARATOR.sub(" ", unicodedata.normalize("NFC", out[i]))
+        out[i] = separator.sub(" ", unicodedata.normalize("NFC", out[i]))
     return pa.array(out, pa.string())
 
 

@@ -92,3 +92,77 @@ def test_document_frequencies(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
     count, total = licenses.document_frequencies(df)
     assert total == 4 and count["mit"] == 2 and count["license"] == 1 and count["apache"] == 0
+
+
+def test_cosines_against_brute_force(spark):
+    """TF-IDF vectors as plain dictionaries, every sentence and pair of sentences with every template."""
+    import math
+    import re
+    from collections import Counter
+
+    r = random.Random(6)
+    words = [w for t in licenses.FILES.values() for w in licenses.words_of(t)] + [f"x{k}" for k in range(60)]
+    some = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.FILES.values())
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            t = r.choice(some).split() if r.random() < 0.5 else [r.choice(words) for _ in range(r.randint(1, 12))]
+            parts.append(" ".join(w for w in t if r.random() < 0.85))
+        texts.append(r.choice(("\n", ". ", " ")).join(parts) + r.choice(("", " 日本語。", " “x”")))
+    texts += ["", "Apache License\nVersion 2.0, January 2004", licenses.FILES["ISC"], licenses.FILES["MIT"].replace(" ", "\n")]
+    cut = lambda t: tuple(licenses.words_of(t))
+    n = len(texts) + 1
+    frequency = Counter(w for t in texts for w in set(cut(t)))
+    known = set(licenses.vocabulary())
+
+    def vector(t):
+        v = {w: (1 + math.log(k)) * (math.log(n / (frequency[w] + 1)) + 1 if w in known else math.log(n) + 1) for w, k in Counter(cut(t)).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    def closest(t, templates):
+        v = vector(t)
+        return max((round(sum(x * u.get(w, 0) for w, x in v.items()), 9) if len(v.keys() & u.keys()) >= 2 else 0.0, name) for name, u in templates)
+
+    heads = [(name, vector(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    whole = [(name, vector(t)) for name, t in licenses.FILES.items()]
+    want = []
+    for t in texts:
+        parts = [p for p in re.split(r"\n+|(?<=[.!?])\s+", t) if cut(p)]
+        found = [closest(p, heads) for p in parts + [f"{a} {b}" for a, b in zip(parts, parts[1:])]]
+        file = [x for x in ([closest(t, whole)] if cut(t) else []) if x[0] >= licenses.FILE_COSINE]
+        best = max([x for x in found if x[0] >= licenses.COSINE] + file, default=(0.0, None))
+        want.append((best[1], round(best[0], 6), "file" if file else "header" if best[1] else None))
+    df = spark.createDataFrame([(i, f"f{i}/t", t) for i, t in enumerate(texts)], "doc_id long, path string, text string").repartition(3)
+    got = [(x.license, round(x.cosine or 0.0, 6), x.origin) for x in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == want and {"file", "header", None} == {x[2] for x in got}
+
+
+def test_nearest_ancestor_against_brute_force(spark):
+    r = random.Random(7)
+    names = ["MIT", "Apache-2.0", "GPL-3.0"]
+    paths = []
+    for k in range(200):
+        folder = [r.choice("abc") for _ in range(r.randint(0, 4))]
+        paths.append("/".join([*folder, r.choice(("LICENSE", "copying.txt", f"f{k}", f"f{k}", f"f{k}"))]))
+    rows = [(i, p, licenses.TEMPLATES[r.choice(names)][0] if p.lower().rsplit("/", 1)[-1][0] in "lc" else "nothing here") for i, p in enumerate(paths)]
+    found = {x.doc_id: x for x in licenses.scan_headers(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    got = {x.doc_id: (x.license, x.origin) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, p, _ in rows:
+        if found[i]._own:
+            assert got[i] == (found[i]._own, "header")
+            continue
+        folder, want = p.split("/")[:-1], None
+        while want is None:
+            here = [(found[j]._score, found[j]._own) for j, q, _ in rows if q.split("/")[:-1] == folder and found[j]._own]
+            want = max(here)[1] if here else None
+            if not folder:
+                break
+            folder = folder[:-1]
+        assert got[i] == (want, "inherited" if want else None)
+
+
+def test_one_document_licenses_no_source(spark):
+    got = licenses.op7_license_scan(spark, DATA)
+    assert {r.origin for r in got.select("origin").distinct().collect()} <= {"header", None}
