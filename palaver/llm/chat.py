@@ -2,9 +2,14 @@
 
 A line's hidden state is a role and whether the line begins a turn. Lines emit a speaker
 marker (of a known role, the first or second name of the transcript, or none), whether a
-blank line lies before them, and whether they ask, are short or look like prose. Viterbi
-gives the most likely states; lines of a turn are joined, markers are dropped, and turns are
-rendered in one canonical form. All transcripts of a batch advance one line at a time.
+blank line lies before them, whether they ask, and their length. Viterbi gives the most likely
+states; lines of a turn are joined, markers are dropped, and turns are rendered in one
+canonical form. All transcripts of a batch advance one line at a time.
+
+The tables are counted, by fit(), on at most MAX_FIT conversations with known roles (those with
+the smallest hash of conv_id): each is written out with role markers, with names, without
+markers, and with markers for some of its turns, and PRIOR is added STRENGTH times to what its
+lines emit. Without such conversations PRIOR stands.
 
 Nulls: a null or blank transcript has no turns and renders as "". In the query, a null role
 is a turn without a marker, null text is empty, a row without conv_id or turn is a transcript
@@ -15,11 +20,14 @@ scores of the states at its end), a fold over the summaries gives each segment t
 name of the conversation and its first and last state on the best path of the whole, and
 "rendered" of the segments in order, put together, is the rendering of the whole conversation.
 A turn belongs to the segment where it begins; what a segment continues comes first in it.
+Equally likely states: the first in the order of the tables. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,7 @@ from palaver.llm import text as tx
 from palaver.llm.shared import Scratch, arrow_rows, lean
 
 SEGMENT = 256
+MAX_FIT, STRENGTH = 2000, 10.0
 #: Ids of conversations of several segments that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 ROLES = ("system", "user", "assistant")
@@ -63,7 +72,26 @@ BY_MARKER = _log([
 ])
 BY_BLANK = _log([[5, 5], [6, 4], [6, 4], [8, 2], [8, 2], [8, 2]])
 BY_ASKS = _log([[19, 1], [10, 10], [17, 3], [19, 1], [15, 5], [18, 2]])
-BY_SHORT = _log([[12, 8], [9, 11], [12, 8], [12, 8], [11, 9], [12, 8]])
+#: What a state loses at a line with the marker of another role, or with one where it begins no turn.
+CERTAIN = 1e6
+#: Lengths: below each of these numbers of characters, and the rest.
+LENGTHS = (60, 200, 600)
+BY_LENGTH = _log([[8, 6, 4, 2], [11, 5, 3, 1], [8, 6, 4, 2], [8, 6, 4, 2], [9, 6, 4, 1], [8, 6, 4, 2]])
+
+
+class Model(NamedTuple):
+    """Log probabilities: of the first state, of the next state, and of what a state emits."""
+
+    start: np.ndarray
+    step: np.ndarray
+    sign: np.ndarray
+    asks: np.ndarray
+    length: np.ndarray
+
+
+#: A sign is a marker and whether a blank line lies before: 2 * marker + blank.
+BY_SIGN = (BY_MARKER[:, :, None] + BY_BLANK[:, None, :]).reshape(6, 12)
+PRIOR = Model(START, STEP, BY_SIGN, BY_ASKS, BY_LENGTH)
 
 
 def lines_of(text: str, name: str | None = None, before: bool | None = None) -> tuple:
@@ -90,21 +118,25 @@ def lines_of(text: str, name: str | None = None, before: bool | None = None) ->
         contents.append((line, bare))
         markers.append(kind)
         blanks.append(blank)
-        features.append((bare.endswith("?"), len(bare) < 60))
+        features.append((bare.endswith("?"), sum(len(bare) >= n for n in LENGTHS)))
         blank = False
     return contents, markers, blanks, features, next(iter(names), None), blank
 
 
-def emissions(every: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def emissions(every: list[tuple], model: Model = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """Emission scores of the lines of each lines_of(), and their row offsets."""
     rows = np.concatenate(([0], np.cumsum([len(e[0]) for e in every]))).astype(np.int64)
     marker = np.concatenate([np.array(e[1], int) for e in every])
     blank = np.concatenate([np.array(e[2], int) for e in every])
-    asks, short = np.concatenate([np.array(e[3], int).reshape(-1, 2) for e in every]).T
-    return BY_MARKER.T[marker] + BY_BLANK.T[blank] + BY_ASKS.T[asks] + BY_SHORT.T[short], rows
+    asks, length = np.concatenate([np.array(e[3], int).reshape(-1, 2) for e in every]).T
+    score = model.sign.T[2 * marker + blank] + model.asks.T[asks] + model.length.T[length]
+    # A role's marker is taken at its word, however many lines speak for another role.
+    told = (marker >= SYSTEM) & (marker <= ASSISTANT)
+    score[told[:, None] & (np.arange(6) != marker[:, None] - 1)] -= CERTAIN
+    return score, rows
 
 
-def viterbi(emission: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def viterbi(emission: np.ndarray, rows: np.ndarray, model: Model = PRIOR) -> np.ndarray:
     """Most likely state of each line; rows: offsets of the transcripts."""
     length = np.diff(rows)
     order = np.argsort(-length, kind="stable")
@@ -117,11 +149,11 @@ def viterbi(emission: np.ndarray, rows: np.ndarray) -> np.ndarray:
         n = active[t]
         i = starts[:n] + t
         if t:
-            both = best[:n, :, None] + STEP[None]
+            both = best[:n, :, None] + model.step[None]
             back[i] = both.argmax(axis=1)
             best[:n] = both.max(axis=1) + emission[i]
         else:
-            best[:n] = START + emission[i]
+            best[:n] = model.start + emission[i]
     now = best.argmax(axis=1)
     for t in range(most - 1, -1, -1):
         n = active[t]
@@ -131,13 +163,13 @@ def viterbi(emission: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return state
 
 
-def parse(texts: list[str | None]) -> list[list[tuple[str, str]]]:
+def parse(texts: list[str | None], model: Model = PRIOR) -> list[list[tuple[str, str]]]:
     """Turns (role, content) of each transcript."""
     every = [lines_of(t or "") for t in texts]
     if not any(e[0] for e in every):
         return [[] for _ in texts]
-    emission, rows = emissions(every)
-    state = viterbi(emission, rows)
+    emission, rows = emissions(every, model)
+    state = viterbi(emission, rows, model)
     out = []
     for e, a, b in zip(every, rows[:-1], rows[1:], strict=True):
         turns: list[tuple[str, list[str]]] = []
@@ -155,7 +187,75 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{r}|>\n{c}\n<|end|>\n" for r, c in turns)
 
 
-def format_chats(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
+def _written(turns: list[tuple[int, str]], style: int, salt: int) -> tuple[list[str], list[str]]:
+    """(markers, gaps after) of turns (role number, text) in one of four styles."""
+    if style == 0:  # role markers
+        return [f"{ROLES[r].capitalize()}: " for r, _ in turns], ["\n"] * len(turns)
+    if style == 1:  # names
+        return [f"{('Narrator', 'Ann', 'Bob')[r]}: " for r, _ in turns], ["\n"] * len(turns)
+    if style == 2:  # nothing but blank lines
+        return [""] * len(turns), ["\n\n"] * len(turns)
+    some = [zlib.crc32(b"%d/%d" % (salt, i)) % 10 < 7 for i in range(len(turns))]  # seven of ten turns marked
+    return [f"{ROLES[r].capitalize()}: " if k else "" for k, (r, _) in zip(some, turns, strict=True)], ["\n\n"] * len(turns)
+
+
+def written(turns: list[tuple[int, str]], style: int, salt: int) -> tuple[str, list[int]]:
+    """A transcript of turns (role number, text), and the true state of each of its lines."""
+    text, states = "", []
+    for (role, own), marker, gap in zip(turns, *_written(turns, style, salt), strict=True):
+        lines = [x for x in (marker + own).split("\n") if END_TAG.sub("", x.rstrip()).strip()]
+        states += [role] + [role + 3] * (len(lines) - 1) if lines else []
+        text += marker + own + gap
+    return text, states
+
+
+def counts(turns: list[tuple[int, str]], salt: int) -> np.ndarray:
+    """What the lines of a conversation do in all styles: the tables of a Model, flat, as counts."""
+    tables = [np.zeros(t.shape) for t in PRIOR]
+    for style in range(4):
+        text, states = written(turns, style, salt)
+        _, markers, blanks, features, _, _ = lines_of(text)
+        if not states:
+            continue
+        at = np.array(states)
+        tables[0][at[0]] += 1
+        np.add.at(tables[1], (at[:-1], at[1:]), 1)
+        asks, length = np.array(features, int).T
+        signs = 2 * np.array(markers) + np.array(blanks, int)
+        for table, value in zip(tables[2:], (signs, asks, length), strict=True):
+            np.add.at(table, (at, value), 1)
+    return np.concatenate([t.ravel() for t in tables])
+
+
+def fit(conversations: DataFrame, most: int = MAX_FIT) -> Model:
+    """The tables counted on at most `most` conversations; turns without text or with another role are left out."""
+
+    def run(batches):
+        total = np.zeros(sum(t.size for t in PRIOR))
+        for b in batches:
+            for salt, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total += counts([(ROLES.index(t["role"]), t["text"]) for t in turns], salt)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "n"])
+
+    known = conversations.select("conv_id", "turn", F.lower(F.trim("role")).alias("role"), F.col("text").cast("string")).where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & (F.trim("text") != ""))
+    wanted = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
+    # A long conversation is counted segment by segment: the states between two segments do not count.
+    own = known.join(F.broadcast(wanted), "conv_id").groupBy("conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    arrow_rows(conversations.sparkSession, 500)
+    found = own.select(F.abs(F.xxhash64("conv_id") % 1_000_003).alias("salt"), "turns").mapInArrow(lean(run), "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(sum(t.size for t in PRIOR))
+    for r in found:
+        total[r["i"]] = r["n"]
+    if not total.any():
+        return PRIOR
+    tables, at = [], 0
+    for prior in PRIOR:
+        tables.append(_log(total[at : at + prior.size].reshape(prior.shape) + STRENGTH * np.exp(prior)))
+        at += prior.size
+    return Model(*tables)
+
+
+def format_chats(transcripts: DataFrame, text: str = "transcript", model: Model = PRIOR) -> DataFrame:
     """Adds n_turns, roles, contents and rendered to rows that hold a transcript each."""
     added = ("n_turns", "roles", "contents", "rendered")
     names = [c for c in transcripts.columns if c.lower() not in added]
@@ -164,7 +264,7 @@ def format_chats(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
     def run(batches):
         for b in batches:
             for start, part in tx.chunks(b.column(at)):
-                turns = parse(part.to_pylist())
+                turns = parse(part.to_pylist(), model)
                 cols = [pa.array([len(t) for t in turns], pa.int32()), pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string())), pa.array([[c for _, c in t] for t in turns], pa.list_(pa.string())), pa.array([render(t) for t in turns], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, len(part)) for c in b.columns), *cols], [*names, *added])
 
@@ -184,12 +284,12 @@ def transcripts(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return rows.drop("alone")
 
 
-def path_scores(emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def path_scores(emission: np.ndarray, model: Model = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """(7 x 6) best scores from START or a state before the lines to each state of the last line, and the first line's state on that path."""
-    best = np.concatenate((START[None], STEP)) + emission[0]
+    best = np.concatenate((model.start[None], model.step)) + emission[0]
     first = np.tile(np.arange(6), (7, 1))
     for e in emission[1:]:
-        both = best[:, :, None] + STEP[None]
+        both = best[:, :, None] + model.step[None]
         arg = both.argmax(axis=1)
         best = both.max(axis=1) + e
         first = np.take_along_axis(first, arg, axis=1)
@@ -245,7 +345,7 @@ def _lines(b) -> list[tuple]:
     return [lines_of(t or "", n, x) for t, n, x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
 
 
-def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> DataFrame:
+def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT, model: Model = PRIOR) -> DataFrame:
     """conv_id, segment, n_turns, roles and rendered of conversations of several segments; turn is not null."""
     parts = scratch.put(transcripts(rows, segment).select(F.col("conv_id").cast("string").alias("id"), F.col("segment").cast("long").alias("part"), "transcript"), "parts")
 
@@ -259,7 +359,7 @@ def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> Da
             ids, at, best, first, empty = [], [], [], [], []
             for i, k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _lines(b), strict=True):
                 if e[0]:
-                    x, y = path_scores(emissions([e])[0])
+                    x, y = path_scores(emissions([e], model)[0], model)
                     ids.append(i), at.append(k), best.append(x.ravel().tolist()), first.append(y.ravel().tolist()), empty.append(not e[0][-1][1].strip())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(first, pa.list_(pa.int32())), pa.array(empty, pa.bool_())], ["id", "segment", "best", "first", "empty"])
 
@@ -270,10 +370,10 @@ def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> Da
                 if not e[0]:
                     out.append((0, "", ""))
                     continue
-                emission, at = emissions([e])
+                emission, at = emissions([e], model)
                 emission[0, np.arange(6) != start] = -np.inf
                 emission[-1, np.arange(6) != stop] = -np.inf
-                out.append(_piece(e, viterbi(emission, at).tolist(), *flags))
+                out.append(_piece(e, viterbi(emission, at, model).tolist(), *flags))
             n, roles, rendered = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(roles, pa.string()), pa.array(rendered, pa.string())], ["conv_id", "segment", "n_turns", "roles", "rendered"])
 
@@ -285,7 +385,7 @@ def format_long(rows: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> Da
     return whole.mapInArrow(lean(pieces), "conv_id string, segment long, n_turns int, roles string, rendered string")
 
 
-def format_conversations(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def format_conversations(conversations: DataFrame, segment: int = SEGMENT, model: Model = PRIOR) -> DataFrame:
     """conv_id, segment, n_turns, roles and rendered; segments of a conversation are parts of one rendering."""
     scratch = Scratch(conversations.sparkSession)
     at = F.floor(F.col("turn") / segment)
@@ -293,11 +393,12 @@ def format_conversations(conversations: DataFrame, segment: int = SEGMENT) -> Da
     ids = scratch.put(ids.select("conv_id", F.lit(True).alias("several")), "several")
     n = ids.count()
     marked = conversations.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "conv_id", "left")
-    out = format_chats(transcripts(marked.where("several is null or turn is null"), segment)).select("conv_id", "segment", "n_turns", F.array_join("roles", ",").alias("roles"), "rendered")
+    out = format_chats(transcripts(marked.where("several is null or turn is null"), segment), model=model).select("conv_id", "segment", "n_turns", F.array_join("roles", ",").alias("roles"), "rendered")
     if not n:
         return out
-    return out.unionByName(format_long(marked.where("several and turn is not null"), scratch, segment).withColumn("conv_id", F.col("conv_id").cast(out.schema["conv_id"].dataType)))
+    return out.unionByName(format_long(marked.where("several and turn is not null"), scratch, segment, model).withColumn("conv_id", F.col("conv_id").cast(out.schema["conv_id"].dataType)))
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
-    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_conversations(conversations, model=fit(conversations))
