@@ -12,7 +12,7 @@ markers, and with markers for some of its turns, and PRIOR is added STRENGTH tim
 lines emit. Without such conversations PRIOR stands.
 
 Nulls: a null or blank transcript has no turns and renders as "". In the query, a null role
-is a turn without a marker, null text is empty, a row without conv_id or turn is a transcript
+is a turn without a marker, behind a blank line, null text is empty, a row without conv_id or turn is a transcript
 of its own, and repeated rows count once. A conversation is read in segments of
 SEGMENT turn numbers, so that no task gathers an unbounded one. Segments are units of work only:
 each sends a summary (its first name and blank lines, then for every state before it the best
@@ -20,7 +20,7 @@ scores of the states at its end), a fold over the summaries gives each segment t
 name of the conversation and its first and last state on the best path of the whole, and
 "rendered" of the segments in order, put together, is the rendering of the whole conversation.
 A turn belongs to the segment where it begins; what a segment continues comes first in it.
-Equally likely states: the first in the order of the tables. Very long texts are read whole.
+Of equally likely states any one counts. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ BY_MARKER = _log([
 ])
 BY_BLANK = _log([[5, 5], [6, 4], [6, 4], [8, 2], [8, 2], [8, 2]])
 BY_ASKS = _log([[19, 1], [10, 10], [17, 3], [19, 1], [15, 5], [18, 2]])
-#: What a state loses at a line with the marker of another role, or with one where it begins no turn.
+#: What a state loses at a line with another role's marker, with a role's marker if it begins no turn, or with neither marker nor blank line if it does.
 CERTAIN = 1e6
 #: Lengths: below each of these numbers of characters, and the rest.
 LENGTHS = (60, 200, 600)
@@ -97,13 +97,14 @@ PRIOR = Model(START, STEP, BY_SIGN, BY_ASKS, BY_LENGTH)
 def lines_of(text: str, name: str | None = None, before: bool | None = None) -> tuple:
     """((line, line without its marker), marker, blank line before, features) of the lines that are not blank; first name; blank line at the end.
 
-    name: the first name so far. before: whether a blank line ends what came before, null where nothing did.
+    name: the first name so far. before: whether a blank line ends what came before, null where
+    nothing did, which counts as a blank line.
     """
-    contents, markers, blanks, features, names, blank = [], [], [], [], {name: 0} if name else {}, bool(before)
+    contents, markers, blanks, features, names, blank = [], [], [], [], {name: 0} if name else {}, before in (None, True)
     for line in text.split("\n"):
         line = END_TAG.sub("", line.rstrip())
         if not line.strip():
-            blank = bool(contents) or before is not None
+            blank = True
             continue
         kind, m, bare = NONE, MARKER.match(line), line
         if m:
@@ -133,6 +134,8 @@ def emissions(every: list[tuple], model: Model = PRIOR) -> tuple[np.ndarray, np.
     # A role's marker is taken at its word, however many lines speak for another role.
     told = (marker >= SYSTEM) & (marker <= ASSISTANT)
     score[told[:, None] & (np.arange(6) != marker[:, None] - 1)] -= CERTAIN
+    # Without a marker and a blank line nothing begins.
+    score[(marker == NONE) & (blank == 0), :3] -= CERTAIN
     return score, rows
 
 
@@ -250,9 +253,9 @@ def fit(conversations: DataFrame, most: int = MAX_FIT) -> Model:
         return PRIOR
     tables, at = [], 0
     for prior in PRIOR:
-        tables.append(_log(total[at : at + prior.size].reshape(prior.shape) + STRENGTH * np.exp(prior)))
+        tables.append(total[at : at + prior.size].reshape(prior.shape) + STRENGTH * np.exp(prior))
         at += prior.size
-    return Model(*tables)
+    return Model(*map(_log, tables))
 
 
 def format_chats(transcripts: DataFrame, text: str = "transcript", model: Model = PRIOR) -> DataFrame:
@@ -275,9 +278,9 @@ def format_chats(transcripts: DataFrame, text: str = "transcript", model: Model
 
 
 def transcripts(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, transcript: one marked line group per turn, in turn order."""
+    """conv_id, segment, transcript: one marked line group per turn, in turn order; turns without a role follow a blank line."""
     role = F.trim(F.col("role"))
-    line = F.concat(F.when(F.length(role) > 0, F.concat(F.initcap(role), F.lit(": "))).otherwise(F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    line = F.concat(F.when(F.length(role) > 0, F.concat(F.initcap(role), F.lit(": "))).otherwise(F.lit("\n")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     alone = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.xxhash64("turn", "role", "text"))
     rows = conversations.select("conv_id", F.floor(F.col("turn") / segment).alias("segment"), alone.alias("alone"), F.struct("turn", "role", line.alias("line")).alias("row"))
     rows = rows.groupBy("conv_id", "segment", "alone").agg(F.array_join(F.transform(F.sort_array(F.collect_set("row")), lambda r: r["line"]), "\n").alias("transcript"))

@@ -47,7 +47,7 @@ def test_counts_against_a_plain_count():
     step, sign, asks, length = step.reshape(6, 6), sign.reshape(6, 12), asks.reshape(6, 2), length.reshape(6, 4)
     assert start.tolist() == [0, 4, 0, 0, 0, 0] and step[1, 2] == 4 == step[2, 5] == step[5, 1] and step.sum() == 12
     assert asks[1].tolist() == [4, 4] and length[2].tolist() == [0, 0, 4, 0] and length.sum() == 16
-    assert sign[5, 2 * chat.NONE] == 4 and sign[1, 2 * chat.USER] >= 2 and sign[1, 2 * chat.NONE + 1] >= 1
+    assert sign[5, 2 * chat.NONE] == 4 and sign[1, 2 * chat.USER : 2 * chat.USER + 2].sum() >= 2 and sign[1, 2 * chat.NONE + 1] >= 1
 
 
 def test_nothing_to_fit_on(spark):
