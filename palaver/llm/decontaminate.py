@@ -1,23 +1,35 @@
-"""Benchmark decontamination by exact pieces of the items (operator 1).
+"""Benchmark decontamination by CGK embedding and bit sampling (operator 1).
 
-Texts are strings of words. An item of n words is held if some passage is at most e edits away,
-e being the edits that the similarity allows. The item is cut into e + 1 pieces; an edit spoils
-one piece at most, so every such passage has a piece word for word, and nothing is lost. The
-first n // (e + 1) words of each piece are put into a table by their hash (two to four words at
-a similarity of 0.8); documents look up their runs of so many words. A hit whose surroundings
-have too few of the item's words is passed over, which is exact too; the others are verified by
-the exact edit distance between the item and the best stretch of the document around the hit.
+Texts are strings of words. The random walk of Chakraborty, Goldenberg and Koucky maps such a
+string to a longer one: at each step it writes the word it stands on and moves on or stays by
+a random bit of that word and step; strings a few edits apart then differ in few places, so
+edit distance becomes Hamming distance. Every table samples a few places of an embedding and
+hashes what stands there. All windows of every benchmark item are put into the tables; windows
+of the documents look them up. A hit whose surroundings have too few of the item's words is
+passed over, which is exact; the others are verified by the exact edit distance between the
+item and the best stretch of the document around the hit.
+
+Windows are sized by the item, but have eight words at most: the share of edits in the best of
+an item's windows falls with their number, and with a fixed window the number of sampled
+places and tables suits every item. Short items take windows of half their length or so. A
+document's window with more than a quarter of words that no item of its kind has is not looked
+up. Items of one to four words allow no edits at 0.8 and are matched exactly: equal strings have
+equal embeddings.
 
 The benchmark's tables are broadcast in blocks of at most BLOCK_WORDS words, one pass over the
-documents for each, so what is sent never grows with the data.
+documents for each, so what a task holds never grows with the data. A worker builds a block's
+tables once.
 
 Nulls: a null text matches nothing and stays; a row without doc_id is judged by its text, and an
-item without item_id by its text too, with a null item_id in the report. Items without a
-word are left out; those of one to four words allow no edits at 0.8 and match exactly. Repeated items and documents are matched one by one.
+item without item_id by its text too, with a null item_id in the report. Items without a word
+are left out. Repeated items and documents are matched one by one; of equally good passages of
+a document the first counts. Very long texts are searched whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,10 +38,22 @@ from palaver.llm import text as tx
 from palaver.llm.shared import arrow_rows, lean
 
 SIMILARITY, LEAST_WORDS = 0.8, 1
+#: Random walks, tables of each, and sampled places of a table by window length.
+WALKS, TABLES, PLACES = 8, 4, {4: 3, 6: 4, 8: 6}
 BLOCK_WORDS = 200_000
 U64 = np.uint64
-#: Bits of a hash's slot in a table's mask.
-_MASK = 20
+#: Bits of a word's slot in a level's vocabulary, and of a hash's slot in a table's mask.
+_BITS, _MASK = 20, 18
+
+
+def width_for(n: int) -> int:
+    """Words of a window of an item of n words."""
+    return n if n < 5 else 4 if n < 12 else 6 if n < 16 else 8
+
+
+def stride(width: int) -> int:
+    """Words between a document's windows; items have windows everywhere."""
+    return 2 if width >= 8 else 1
 
 
 def edits(n, similarity: float):
@@ -37,6 +61,40 @@ def edits(n, similarity: float):
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
+class Walks:
+    """The shared randomness of a window length: bits by word and step, sampled places by table."""
+
+    def __init__(self, width: int, walks: int = WALKS, tables: int = TABLES, seed: int = 7):
+        exact = width < 5 and width not in PLACES
+        self.width, self.steps = width, 2 * width
+        self.seeds = tx.mix(np.arange(1, (1 if exact else walks) + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95) + U64(seed))
+        rng, places = np.random.Generator(np.random.PCG64([seed, width])), PLACES.get(width, width)
+        self.picks = [[np.sort(rng.choice(self.steps, places, replace=False)) for _ in range(1 if exact else tables)] for _ in self.seeds]
+        self.odd = tx.mix(np.arange(self.steps, dtype=np.uint64) + U64(99)) | U64(1)
+
+    def keys(self, words: np.ndarray, starts: np.ndarray):
+        """For each walk and table: hashes of the windows words[start:start + width].
+
+        A walk is cut after 2 * width steps, where few have left their window; beyond it, 0 is written.
+        """
+        padded = np.append(words, U64(0))
+        starts = starts.astype(np.int32)
+        last = starts + np.int32(self.width)
+        for k, own in enumerate(self.seeds):
+            coins = tx.mix(padded ^ own)
+            wanted, taken, at = {int(j) for p in self.picks[k] for j in p}, {}, starts.copy()
+            for j in range(max(wanted) + 1):
+                if j in wanted:
+                    taken[j] = np.where(at < last, padded[at], U64(0)) * self.odd[j]
+                moves = ((coins >> U64(j)) & U64(1)).astype(np.int8)
+                at = np.minimum(at + moves[at], last)
+            for t, picks in enumerate(self.picks[k]):
+                h = np.full(len(starts), U64(self.width * 1_000_003 + k * 1009 + t + 1))
+                for j in picks.tolist():
+                    h += taken[j]
+                yield tx.mix(h)
+
+
 class Tables:
     """One block of the benchmark: its words and its hash tables."""
 
@@ -45,35 +103,49 @@ class Tables:
         self.ids, self.similarity = ids, similarity
         self.items = [hashes[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
         self.allowed = edits(np.diff(rows), similarity)
-        by_length: dict[int, list] = {}
-        for i, (item, most) in enumerate(zip(self.items, self.allowed.tolist(), strict=True)):
-            if len(item) >= LEAST_WORDS:
-                offset = np.arange(most + 1) * len(item) // (most + 1)
-                by_length.setdefault(len(item) // (most + 1), []).append((np.full(most + 1, i), offset))
         self.levels = []
-        for length, own in sorted(by_length.items()):
-            item, offset = (np.concatenate(x) for x in zip(*own, strict=True))
-            h = tx.sequence_hash(hashes, rows[item] + offset, rows[item] + offset + length)
-            order = np.argsort(h, kind="stable")
-            mask = np.zeros(1 << _MASK, bool)
-            mask[(h >> U64(64 - _MASK)).astype(np.int64)] = True
-            self.levels.append((length, h[order], item[order], offset[order], mask))
+        count = np.diff(rows)
+        widths = np.array([width_for(int(n)) for n in count])
+        for width in sorted(set(widths[count >= LEAST_WORDS].tolist())):
+            own = np.flatnonzero((widths == width) & (count >= LEAST_WORDS))
+            each = count[own] - width + 1
+            item = np.repeat(own, each)
+            offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            walks, tables = Walks(width), []
+            for h in walks.keys(hashes, rows[item] + offset):
+                order = np.argsort(h, kind="stable")
+                mask = np.zeros(1 << _MASK, bool)
+                mask[(h >> U64(64 - _MASK)).astype(np.int64)] = True
+                tables.append((h[order], order, mask))
+            known = np.zeros(1 << _BITS, bool)
+            for i in own:
+                known[(self.items[i] >> U64(64 - _BITS)).astype(np.int64)] = True
+            self.levels.append((width, walks, item, offset, known, tables))
 
     def candidates(self, words: np.ndarray, rows: np.ndarray):
-        """(row, item, position of the item's start in words if nothing is edited before the piece) of every hit, once each."""
-        found = []
-        for length, sorted_, item, offset, mask in self.levels:
-            count = np.maximum(0, np.diff(rows) - length + 1)
+        """(row, item, position of the item's start in words if nothing is edited before the window) of every hit, once each."""
+        slot, found = (words >> U64(64 - _BITS)).astype(np.int64), []
+        for width, walks, item, offset, vocabulary, tables in self.levels:
+            known = np.concatenate(([0], np.cumsum(vocabulary[slot], dtype=np.int64)))
+            grid = stride(width)
+            count = np.maximum(0, (np.diff(rows) - width) // grid + 1)
             total = np.concatenate(([0], np.cumsum(count)))
-            starts = np.arange(total[-1]) + np.repeat(rows[:-1] - total[:-1], count)
-            h = tx.sequence_hash(words, starts, starts + length)
-            near = np.flatnonzero(mask[(h >> U64(64 - _MASK)).astype(np.int64)])
-            lo, hi = np.searchsorted(sorted_, h[near]), np.searchsorted(sorted_, h[near], "right")
-            n = hi - lo
-            w = np.repeat(near, n)
-            e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-            if len(w):
-                found.append(np.stack((np.searchsorted(total, w, "right") - 1, item[e], starts[w] - offset[e]), axis=1))
+            row = np.repeat(np.arange(len(count)), count)
+            starts = rows[:-1][row] + (np.arange(total[-1]) - total[:-1][row]) * grid
+            some = known[starts + width] - known[starts] >= width - width // 4
+            row, starts = row[some], starts[some]
+            if not len(starts):
+                continue
+            for h, (sorted_, order, mask) in zip(walks.keys(words, starts), tables, strict=True):
+                near = np.flatnonzero(mask[(h >> U64(64 - _MASK)).astype(np.int64)])
+                if not len(near):
+                    continue
+                lo, hi = np.searchsorted(sorted_, h[near]), np.searchsorted(sorted_, h[near], "right")
+                n = hi - lo
+                w = np.repeat(near, n)
+                e = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                if len(w):
+                    found.append(np.stack((row[w], item[e], starts[w] - offset[e]), axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -141,6 +213,22 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
         yield rows
 
 
+_built: dict[str, Tables] = {}
+
+
+def _sent(docs: DataFrame, block: list, similarity: float):
+    """A function that gives the block's tables inside a task, built once in each worker."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(tuple(zip(*block, strict=True))), uuid.uuid4().hex
+
+    def tables() -> Tables:
+        if key not in _built:
+            _built.clear()
+            _built[key] = Tables(*map(list, sent.value), similarity)
+        return _built[key]
+
+    return tables
+
+
 MATCH = "doc_id long, item_id long, first_word long, words long, item_words long, edits long"
 
 
@@ -150,10 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     arrow_rows(docs.sparkSession, 2000)
     out = None
     for block in blocks(benchmark):
-        ids, items = zip(*block, strict=True)
 
-        def run(batches, ids=ids, items=items):
-            index = Tables(list(ids), list(items), similarity)
+        def run(batches, tables=_sent(docs, block, similarity)):
+            index = tables()
             for b in batches:
                 for at, part in tx.chunks(b.column(1), 1 << 20):
                     words, rows, _, _ = tx.words(tx.plain(part))
@@ -177,10 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     arrow_rows(docs.sparkSession, 2000)
     at_text = docs.columns.index("text")
     for block in blocks(benchmark):
-        ids, items = zip(*block, strict=True)
 
-        def run(batches, ids=ids, items=items):
-            index = Tables(list(ids), list(items), similarity)
+        def run(batches, tables=_sent(docs, block, similarity)):
+            index = tables()
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for at, part in tx.chunks(b.column(at_text), 1 << 20):
