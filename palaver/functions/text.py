@@ -13,6 +13,15 @@ OPENERS = (
 #: Quotation marks around an utterance.
 QUOTES = "\"'“”„‘’«»`"
 FILLERS = ("um", "mm", "uh")
+#: Patterns of briefs and notes that speak of the assistant.
+NEGATION = r"\b(not|never|no|without)\b"
+MENTION = r"\b(sigma|assistant)\b"
+BRIEF_MENTION = r"\b(sigma|assistant|voice device|smart speaker|voice command)\b"
+AFFIRM = (
+    r"\b(sigma|(the )?assistant)\b[^.!?]{0,40}?"
+    r"\b(answers?|speaks?|gives?|responds?|replies|provides?|offers?|says?|is addressed|adds?|confirms?|assigns?"
+    r"|suggests?|recommends?|explains?|reminds?|lists?|reads?|sets?|helps?)\b"
+)
 
 
 def empty(text: Column) -> Column:
@@ -24,6 +33,21 @@ def mentions(text: Column, name: str) -> Column:
     return F.contains(F.lower(empty(text)), F.lit(name.lower()))
 
 
+def says(text: Column, pattern: str) -> Column:
+    """The pattern occurs, in any case; false for null."""
+    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
+
+
+def needs_rewrite(text: Column) -> Column:
+    """A brief mentions the assistant."""
+    return says(text, BRIEF_MENTION)
+
+
+def affirms(text: Column) -> Column:
+    """A rule says that the assistant acts, and does not negate it."""
+    return says(text, AFFIRM) & ~says(text, NEGATION)
+
+
 def count_words(text: Column) -> Column:
     """Runs of anything but white space, Unicode's included."""
     return F.regexp_count(empty(text), F.lit(r"(?U)\S+"))

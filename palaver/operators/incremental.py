@@ -64,6 +64,20 @@ def regenerate(scenarios: DataFrame, ledger: DataFrame, key: str, code_version:
     return out.withColumn("reason", reason)
 
 
+def stale_listing(ledger: DataFrame, scenarios: DataFrame, key: str, code_version: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger entries to regenerate with their reason, keys that are not of the form a/b/c).
+
+    Entries without a scenario any more are listed as such.
+    """
+    well = F.size(F.split(key, "/")) == 3
+    entries = ledger.where(well)
+    current = entries.select(key).join(scenarios.withColumn("_known", F.lit(True)), key, "left")
+    found = regenerate(current, entries, key, code_version)
+    reason = F.when(F.col("_known").isNull(), "config missing").otherwise(F.col("reason"))
+    stale = found.withColumn("reason", reason).where("reason is not null").drop("_known", "_none")
+    return stale, ledger.where(~F.coalesce(well, F.lit(False))).select(key)
+
+
 def speech_staleness(rows: DataFrame, code_version: str) -> DataFrame:
     """full, background_only or none for has_output, recorded version and hashes against current ones."""
     full = ~F.col("has_output") | F.col("code_version").isNull() | tx.must_regenerate(F.col("code_version"), F.lit(code_version)) | ~F.col("recorded_hash").eqNullSafe(F.col("speech_hash"))

@@ -114,6 +114,12 @@ def error_summary(errors: DataFrame) -> DataFrame:
     return rows.withColumns({"severity": F.coalesce("severity", F.lit("total")), "type": F.coalesce("type", F.lit("all"))})
 
 
+def errors_by_type(errors: DataFrame) -> DataFrame:
+    """Types by falling number of errors, with their place; there are as many rows as detectors."""
+    rows = errors.groupBy("type").agg(F.count("*").alias("errors"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("errors").desc(), "type"))).orderBy("place")
+
+
 def errors_by_scenario(errors: DataFrame) -> DataFrame:
     return errors.where(F.trim(tx.empty(F.col("scenario"))) != "").groupBy("scenario").agg(F.count("*").alias("errors"))
 
@@ -175,6 +181,13 @@ def scenario_status(generated: DataFrame, expected: DataFrame, key: str) -> Data
     return generated.select(key).union(expected.select(key)).distinct().join(have, key, "left").select(key, F.coalesce("_have", F.lit(False)).alias("is_generated"))
 
 
+def scenario_metrics(generated: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
+    """Files and statistics of every scenario, generated or expected, with is_generated; zeros for the latter."""
+    stats = generated.groupBy(key).agg(F.count("*").alias("files"), *five_numbers(value))
+    out = scenario_status(generated, expected, key).join(stats, key, "left")
+    return out.select(key, "is_generated", *(F.coalesce(c, F.lit(0)).alias(c) for c in stats.columns if c != key))
+
+
 def speaker_frequency(turns: DataFrame, assistant: str | None = None) -> DataFrame:
     rows = turns if assistant is None else turns.where(F.col("role") != assistant)
     return rows.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))

@@ -16,7 +16,9 @@ PHASE_NAMES = {
     "seeking_help": "weighing_options", "assistance_request": "comparing_ideas", "assistance": "talking_it_over", "seeking_guidance": "thinking_it_through",
     "seeking_advice": "thinking_it_through", "sigma_moment": "a_passing_question", "assistant_query": "a_passing_question", "help_request": "weighing_options",
     "recommendation_request": "comparing_ideas", "problem": "the_snag", "discussion": "talking_it_over", "planning": "mapping_it_out",
+    "assistance_request ": "comparing_ideas",
 }
+#: Words of other phases that script a request, and phases to which the assistant is always added.
 ASSIST_WORDS = "assist|help|sigma|recommend|advice|guidance|query"
 FORCING_PHASES = ("assistance_request", "discussion", "planning")
 #: Seconds by which an interjection overlaps the turn before, and the gaps of the others.
@@ -92,6 +94,38 @@ def referenced(configs: DataFrame, existing: DataFrame) -> DataFrame:
     return configs.select("config", F.explode(names).alias("character")).join(existing.select("character"), "character", "left_semi")
 
 
+def partition_silent(variants: DataFrame) -> DataFrame:
+    """silent: whether a variant (max_turns, name, file) goes without the assistant; one scan for both parts."""
+    silent = tx.is_silent_twin(F.col("max_turns"), F.col("name"), F.col("file"))
+    return variants.withColumn("silent", F.coalesce(silent, F.lit(False)))
+
+
+def without_twin(variants: DataFrame, path: str) -> DataFrame:
+    """Variants whose twin's path is not among the paths."""
+    have = variants.select(F.col(path).alias("_twin"))
+    return variants.join(have, tx.twin_path(F.col(path)) == F.col("_twin"), "left_anti")
+
+
+def distinct_speakers(turns: DataFrame) -> DataFrame:
+    """The named speakers of each conversation, sorted."""
+    named = F.when(F.col("role") != "", F.col("role"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(named)).alias("speakers"))
+
+
+def eligible(variants: DataFrame, category: str, excluded) -> DataFrame:
+    """The categories but those that are about the assistant."""
+    return variants.where(~F.col(category).isin(*excluded)).select(category).distinct()
+
+
+def risky(names: Column, words: Column) -> Column:
+    """Names that are everyday words too, in their own order."""
+    return F.array_intersect(names, words)
+
+
+def appended(variations: Column, new: Column) -> Column:
+    return F.concat(variations, F.coalesce(new, F.array().cast("array<string>")))
+
+
 def _uniform(seed: str, key: Column, low, high) -> Column:
     return low + bucket(seed, key) * (high - low)
 

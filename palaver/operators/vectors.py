@@ -104,6 +104,17 @@ def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return out.withColumns({"median": F.get("q", 1), "p5": F.get("q", 0), "p95": F.get("q", 2)}).drop("q")
 
 
+def system_table(rows: DataFrame, system: str, group: str, vector: str) -> DataFrame:
+    """Per system: groups, utterances, and mean distance within groups and between their centroids."""
+    both = F.struct(system, group)
+    keyed = rows.withColumn("_group", both)
+    within = mean_within(keyed, "_group", vector).groupBy(F.col(f"_group.{system}").alias(system)).agg(F.count("*").alias("groups"), F.sum("n").alias("utterances"), F.try_divide(F.sum("total"), F.sum("pairs")).alias("within"))
+    means = centroids(keyed, "_group", vector).select(F.col(f"_group.{system}").alias(system), F.col(f"_group.{group}").alias("g"), "centroid")
+    pairs = means.alias("a").join(means.alias("b"), (F.col(f"a.{system}") == F.col(f"b.{system}")) & (F.col("a.g") < F.col("b.g")))
+    between = pairs.groupBy(F.col(f"a.{system}").alias(system)).agg(F.avg(distance(F.col("a.centroid"), F.col("b.centroid"))).alias("between"))
+    return within.join(between, system, "left").withColumn("ratio", F.try_divide("between", F.nullif("within", F.lit(0.0))))
+
+
 def separation_ratio(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean distance between centroids over mean distance within groups; null if either is missing or 0."""
     within = mean_within(rows, group, vector).agg((F.sum("total") / F.nullif(F.sum("pairs"), F.lit(0))).alias("within"))

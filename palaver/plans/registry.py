@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+from palaver.plans import analytics, conversations, corpus, lineage, rules
 
-from palaver.plans import analytics, conversations, corpus
-
-_MODULES = (conversations, corpus, analytics)
+_MODULES = (conversations, corpus, analytics, rules, lineage)
 
 
 def queries():
