@@ -10,8 +10,11 @@ Equal vectors of one label are one point with a count. Cells with many points ar
 pairs of blocks, so a task never holds more than two blocks of a cell; it sends on how many
 links each point has and a spanning forest of them, never the pairs.
 
-Recall at the threshold itself is about 0.999 with the default tables and probes, and rises
-with the cosine; tests measure it against brute force.
+Scale, tables and probes follow the size of the largest label: plan() simulates how often a
+pair at the threshold meets in one table and how often two unlike vectors share a cell, takes as
+many tables as the wanted recall needs, and chooses the cheapest setting. So cells get finer as
+labels grow, and the work grows less than the square of a label. Recall at the threshold itself
+is about RECALL, and rises with the cosine; tests measure it against brute force.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components, and those
 with a null label, link with nothing and are their own component. A row without vec_id links
@@ -22,6 +25,9 @@ with itself. Only vectors of one length are compared.
 from __future__ import annotations
 
 import itertools
+import math
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 from palaver.llm import text as tx
 from palaver.llm.shared import Scratch, arrow_rows, components, lean, spanning
 
-COSINE = 0.93
-TABLES, PROBES, SCALE = 8, 12, 1.0
+COSINE, RECALL = 0.93, 0.999
+#: Settings that plan() chooses from, and what a meeting of two vectors costs beside a key.
+SCALES, PROBES, MEETING_COST = (0.8, 1.0, 1.2, 1.4, 1.7, 2.0), (4, 12, 24), 0.5
 #: Points of a cell that one task compares with as many others.
 BLOCK = 512
 U64 = np.uint64
@@ -61,8 +68,59 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
-def projection(table: int, dim: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([11, table, dim])).normal(size=(dim, 8)) * SCALE
+class Setting(NamedTuple):
+    tables: int
+    probes: int
+    scale: float
+
+
+@lru_cache(maxsize=None)
+def simulated(cosine: float, scale: float, pairs: int = 1500) -> tuple[float, tuple[float, ...]]:
+    """Share of a random vector's fellows in its cell, and for each of PROBES how likely a pair at the cosine meets in a table.
+
+    Projections of unit vectors are Gaussian with the cosine as correlation, in any dimension.
+    """
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.normal(size=(pairs, 8)) * scale
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * rng.normal(size=(pairs, 8)) * scale
+    hx, hy = decode(x), decode(y)
+    rank = lambda v, h, other: _rank(v - h, np.rint((other - h) * 2))
+    first = np.minimum(rank(x, hx, hy), rank(y, hy, hx))
+    _, n = np.unique(np.rint(decode(rng.normal(size=(4 * pairs, 8)) * scale) * 2), axis=0, return_counts=True)
+    share = max(float((n * (n - 1)).sum()), 1.0) / (4 * pairs * (4 * pairs - 1))
+    return share, tuple(float((first < p).mean()) for p in PROBES)
+
+
+def _rank(off: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """At which place a cell, given by twice its distance from home, is probed; -1 at home, far beyond if never."""
+    order = np.argsort(-(off @ SHORTEST.T), axis=1, kind="stable")
+    steps = {tuple(v): k for k, v in enumerate(np.rint(SHORTEST * 2).astype(int).tolist())}
+    which = [steps.get(tuple(t), -1) for t in twice.astype(int).tolist()]
+    out = np.full(len(off), 10**6)
+    for i, w in enumerate(which):
+        if not twice[i].any():
+            out[i] = -1
+        elif w >= 0:
+            out[i] = int(np.flatnonzero(order[i] == w)[0])
+    return out
+
+
+def plan(largest: int, cosine: float = COSINE, recall: float = RECALL) -> Setting:
+    """The cheapest setting that reaches the recall for labels of up to `largest` different vectors."""
+    best = None
+    for scale in SCALES:
+        share, chances = simulated(cosine, scale)
+        for probes, p in zip(PROBES, chances, strict=True):
+            if p > 0:
+                tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(p, 1 - 1e-9))))
+                cost = tables * (1 + probes) * (1 + MEETING_COST * largest * share)
+                if best is None or cost < best[0]:
+                    best = cost, Setting(tables, probes, scale)
+    return best[1]
+
+
+def projection(table: int, dim: int, scale: float = 1.0) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([11, table, dim])).normal(size=(dim, 8)) * scale
 
 
 def _hash(points: np.ndarray, table: int, dim: int) -> np.ndarray:
@@ -73,9 +131,9 @@ def _hash(points: np.ndarray, table: int, dim: int) -> np.ndarray:
     return h
 
 
-def cells(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
+def cells(unit: np.ndarray, table: int, probes: int, scale: float) -> np.ndarray:
     """Per row: the home cell's hash, then those of the probed cells."""
-    x = unit @ projection(table, unit.shape[1])
+    x = unit @ projection(table, unit.shape[1], scale)
     home = decode(x)
     near = np.argsort(-((x - home) @ SHORTEST.T), axis=1, kind="stable")[:, :probes]
     return _hash(np.concatenate((home[:, None], home[:, None] + SHORTEST[near]), axis=1), table, unit.shape[1])
@@ -98,7 +156,7 @@ def _points(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
+def _keys(points: DataFrame, tables: int, probes: int, scale: float) -> DataFrame:
     """One row per point, table and cell, at home or probed; the vectors stay behind."""
 
     def run(batches):
@@ -110,7 +168,7 @@ def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
                 unit = normed(_matrix(b.column(1).take(pa.array(own)), int(dim)))
                 point = b.column(0).take(pa.array(np.repeat(own, probes + 1)))
                 for t in range(tables):
-                    key = tx.mix(cells(unit, t, probes) + tx.mix(labels[own])[:, None]).view(np.int64)
+                    key = tx.mix(cells(unit, t, probes, scale) + tx.mix(labels[own])[:, None]).view(np.int64)
                     home = np.zeros(key.shape, bool)
                     home[:, 0] = True
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(home.ravel()), pa.array(np.full(key.size, t, np.int32)), point], ["cell", "home", "t", "point"])
@@ -118,7 +176,7 @@ def _keys(points: DataFrame, tables: int, probes: int) -> DataFrame:
     return points.select("point", "embedding", "label_key").mapInArrow(lean(run), "cell long, home boolean, t int, point long")
 
 
-def _compare(cosine: float, probes: int):
+def _compare(cosine: float, probes: int, scale: float):
     """Kernel over rows sorted by cell and block pair."""
 
     def group(key, home, table, node, n, side, label, unit):
@@ -145,7 +203,7 @@ def _compare(cosine: float, probes: int):
         x, y = inverse[: len(a)], inverse[len(a) :]
         keep, most = np.ones(len(a), bool), int(table[a].max())
         for t in range(most + 1):
-            c = cells(unit[here], t, probes)
+            c = cells(unit[here], t, probes, scale)
             for cut in range(0, len(a), 100_000):
                 p = slice(cut, cut + 100_000)
                 hx, hy = c[x[p], 0], c[y[p], 0]
@@ -195,15 +253,20 @@ def _compare(cosine: float, probes: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, setting: Setting | None = None, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
+
+    setting: tables, probes and scale; by default plan() chooses them for the recall.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     arrow_rows(spark, 4000)
     rows = scratch.put(_points(vectors), "rows")
     points = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     points = scratch.put(points.withColumns({"label_key": F.xxhash64("label"), "point": F.monotonically_increasing_id()}), "points")
-    keys = scratch.put(_keys(points, tables, probes), "keys")
+    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, probes, scale = setting or plan(largest, cosine, recall)
+    keys = scratch.put(_keys(points, tables, probes, scale), "keys")
     many = keys.select("cell", "home").groupBy("cell").agg(F.count("*").alias("c"), F.max("home").alias("h")).where("h and c > 1")
     many = scratch.put(many.select("cell", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "cells")
     # Only what shares a cell with another point gets its vector.
@@ -214,7 +277,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     met = met.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
     met = met.select("cell", "i", "j", "home", "t", "node", "n", "side", "label_key", "embedding")
     dealt = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = scratch.put(dealt.mapInArrow(lean(_compare(cosine, probes)), "a long, b long, links long"), "found")
+    found = scratch.put(dealt.mapInArrow(lean(_compare(cosine, probes, scale)), "a long, b long, links long"), "found")
+    scratch.drop("keys", "cells")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(scratch, found.where("b is not null")).withColumnRenamed("label", "component")
     # Nodes are the smallest vec_id of equal vectors, so one id may stand for several labels' points.

@@ -55,10 +55,35 @@ def test_against_brute_force(spark, block):
     want = brute(rows)
     found, there = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
     assert len(got) == len(rows) and all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * there
-    more = lattice.near_duplicates(df, block=block, tables=14, probes=24).collect()
+    more = lattice.near_duplicates(df, block=block, setting=lattice.Setting(14, 24, 1.0)).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in more} == want
 
 
+@pytest.mark.parametrize("largest", [100, 100_000, 30_000_000])
+def test_recall_of_planned_settings(largest):
+    """Pairs at the threshold itself, and a little above, meet in some table whatever the size planned for."""
+    setting = lattice.plan(largest)
+    rng = np.random.default_rng(4)
+    for cosine, least in ((0.93, 0.99), (0.95, 0.999)):
+        x = rng.normal(size=(1200, 48))
+        z = rng.normal(size=x.shape)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        met = np.zeros(len(x), bool)
+        for t in range(setting.tables):
+            a, b = (lattice.cells(v, t, setting.probes, setting.scale) for v in (x, y))
+            met |= (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+        assert met.mean() >= least
+
+
+def test_cells_get_finer_as_labels_grow():
+    plans = [lattice.plan(n) for n in (1_000, 100_000, 10_000_000, 1_000_000_000)]
+    assert [p.scale for p in plans] == sorted(p.scale for p in plans) and plans[0].scale < plans[-1].scale
+    met = [p.tables * (1 + p.probes) * lattice.simulated(lattice.COSINE, p.scale)[0] * n for p, n in zip(plans, (1e3, 1e5, 1e7, 1e9))]
+    assert met[2] / met[1] < 60  # a hundred times the vectors
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, 0), (1, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 1, 2)], "vec_id long, embedding array<float>, label int, n_links int")
     got = [tuple(r) for r in lattice.near_duplicates(df).collect()]
