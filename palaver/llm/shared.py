@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Where spark.checkpoint.dir is unset, as in tests; emptied of own tables when Python ends.
+#: Where spark.checkpoint.dir is unset and Spark runs in one process, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints"
-_local: set[str] = set()
-
-
-@atexit.register
-def _clear() -> None:
-    for path in _local:
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, one of this machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+    return (given or LOCAL_SHARED).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/palaver-{name}-{uuid.uuid4().hex}"
-    if path.startswith(LOCAL_SHARED):
-        _local.add(path)
-    return path
+    return f"{shared_dir(spark)}/palaver-{name}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that materialize() wrote."""
+def _store(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what was written under path."""
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes what was written under path when the driver ends: lazy results may read it until then."""
+    store, where = _store(spark, path)
+    store.deleteOnExit(where)
 
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no lineage.
 
-    Reading them back also forgets their partitioning: a join after it deals out
+    What is not dropped goes when the driver ends. Reading them back also forgets their partitioning: a join after it deals out
     both sides anew, which lets the adaptive planner split a hot key.
     """
 
@@ -53,6 +55,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
         df.write.parquet(path)
+        remove_at_exit(self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
         return out

@@ -9,7 +9,8 @@ sorted by file and offset, ranges with small gaps between them are joined, and e
 range is one read.
 
 Nulls: a null html is an empty payload, a null url leaves its header out, a page without an
-id is always a response. Repeated rows of one page_id are all responses or revisits alike.
+id is always a response. Repeated rows of one page_id are all responses or revisits alike. A
+very long payload is one record, in the memory of one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palaver.llm.shared import Scratch, arrow_rows, fresh_path, lean
+from palaver.llm.shared import Scratch, arrow_rows, fresh_path, lean, remove_at_exit
 
 #: Fixed so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -29,6 +30,10 @@ ID_PREFIX = "urn:page:"
 PART_ROWS = 20_000
 MIN_REVISIT_BYTES = 0
 GAP_BYTES, RANGE_BYTES = 64 << 10, 4 << 20
+#: Archive bytes that one task reads back, about.
+TASK_BYTES = 16 << 20
+#: Schemes of Hadoop under the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def digest(payload: bytes) -> str:
@@ -93,6 +98,17 @@ def write_warc(scratch: Scratch, pages: DataFrame, path: str, min_bytes: int = M
     lines.write.option("lineSep", "\u0000").option("maxRecordsPerFile", PART_ROWS).text(path)
 
 
+def open_store(uri: str):
+    """(pyarrow file system, path in it) of a Hadoop URI."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    try:
+        return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"byte ranges of {scheme}: cannot be read here; set spark.checkpoint.dir to a file, hdfs, s3a, gs or abfs path") from e
+
+
 def parse(block: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one decompressed record."""
     head, _, rest = block.partition(b"\r\n\r\n")
@@ -132,12 +148,11 @@ INDEX = "file string, offset long, length long, record_id long, url string, payl
 
 def build_index(spark, path: str) -> DataFrame:
     """One row per record of the archives under path, from one sequential read of each file."""
-    from pyarrow import fs
 
     def run(batches):
         for b in batches:
             for name in b.column(0).to_pylist():
-                store, inner = fs.FileSystem.from_uri(name)
+                store, inner = open_store(name)
                 rows = []
                 with store.open_input_stream(inner) as f:
                     for offset, length, block in members(f):
@@ -158,9 +173,9 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = GAP_
     """Reads the records that rows of the index name; a digest that differs from the payload raises.
 
     Ranges of a file are read in order; neighbours less than gap bytes apart are one read of
-    at most `most` bytes (a longer record is a read of its own).
+    at most `most` bytes (a longer record is a read of its own). Tasks get stretches of the
+    files of about TASK_BYTES: what counts is the archive behind an index row, not the row.
     """
-    from pyarrow import fs
 
     def run(batches):
         name, f = None, None
@@ -173,7 +188,7 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = GAP_
                 while j < len(rows) and rows[j][0] == file and rows[j][1] - end <= gap and rows[j][1] + rows[j][2] - begin <= most:
                     end, j = max(end, rows[j][1] + rows[j][2]), j + 1
                 if file != name:
-                    store, inner = fs.FileSystem.from_uri(file)
+                    store, inner = open_store(file)
                     name, f = file, store.open_input_file(inner)
                 data = f.read_at(end - begin, begin)
                 out = []
@@ -188,7 +203,9 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = GAP_
                 i = j
 
     ranges = selected.select("file", "offset", "length")
-    return ranges.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(lean(run), RECORD)
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / TASK_BYTES)
+    return ranges.repartition(total // TASK_BYTES + 1, "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(lean(run), RECORD)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
@@ -196,6 +213,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     scratch, path = Scratch(spark), fresh_path(spark, "warc")
     write_warc(scratch, pages, path)
+    remove_at_exit(spark, path)
     scratch.drop("digests", "firsts")
     index = scratch.put(build_index(spark, path), "index")
     got = read_records(index, with_payload=False)
