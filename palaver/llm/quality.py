@@ -6,8 +6,10 @@ line's probability of being good; their mean, weighted by line length, is mapped
 document's score by a logistic curve. Weights and curve are fitted on labelled documents,
 where every line takes its document's label.
 
-At most MAX_TRAIN_DOCS labelled documents are fitted on, those with the smallest hash of
-doc_id. Texts are scored whole, slice by slice, on the executors.
+At most MAX_TRAIN_DOCS labelled documents, of MAX_TRAIN_LINES lines in all, are fitted on, those
+with the smallest hash of doc_id, as long as their lines fit. Texts are
+scored whole on the executors; a long one takes a number of steps that grows with the logarithm
+of its lines.
 
 Nulls: a null or empty text has one empty line. Null labels are not learned from; of repeated
 labels of one doc_id the lower counts. Without both labels to learn from, every score is 0.5.
@@ -21,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palaver.llm import text as tx
-from palaver.llm.shared import arrow_rows, lean
+from palaver.llm.shared import Scratch, arrow_rows, lean
 
-MAX_TRAIN_DOCS = 4000
+MAX_TRAIN_DOCS, MAX_TRAIN_LINES = 4000, 300_000
+#: Texts of more lines are scanned by doubling.
+LONG = 1024
 STEPS, RATE, PENALTY = 250, 0.08, 1e-3
 
 _SYMBOL, _STOP = set(b"#$%&*|<>{}[]=\\^~@+_/`"), set(b".,;:?")
@@ -75,11 +79,14 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowered = tx.plain(texts)
     words, repeats, same = _words_by_line(lowered, rows, per_text)
     doc = np.repeat(np.arange(len(per_text)), per_text)
+    closed = np.zeros(len(ends), bool)
+    filled = np.flatnonzero(ends > starts)
+    closed[filled] = np.isin(data[ends[filled] - 1], np.frombuffer(b".!?", np.uint8))
     f = np.stack([
         np.ones(len(starts)), share[0], share[1], share[2], share[3], share[4] * 4, share[4] > 0.02, share[5] * 4, np.minimum(share[6] * 8, 1), share[7] * 4,
         np.log1p(counts[8]) / 6, np.log1p(words) / 4, np.minimum(counts[0] / np.maximum(words, 1), 20) / 8,
         repeats / np.maximum(words, 1) * 3, repeats > 0.1 * np.maximum(words, 1), same, counts[8] < 60,
-        ~np.isin(data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(len(ends), np.uint8), np.frombuffer(b".!?", np.uint8)),
+        ~closed,
         np.log1p(per_text[doc]) / 4, first | last,
     ], axis=1).astype(np.float64)
     return f, (ends - starts).astype(float), rows
@@ -119,19 +126,31 @@ def with_neighbours(f: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.concatenate((f, before, after), axis=1)
 
 
-def forward_backward(unary: np.ndarray, pair: np.ndarray, rows: np.ndarray):
-    """(P(good) per line, expected pair counts per text summed, log partition per text).
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices of logarithms."""
+    return np.logaddexp(a[:, :, 0, None] + b[:, 0, None, :], a[:, :, 1, None] + b[:, 1, None, :])
 
-    unary: score of good against bad per line; pair: 2 x 2 scores of neighbouring labels.
-    All texts advance one line at a time, the longest first.
-    """
-    length = np.diff(rows)
+
+def _doubling(unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward scores of one text: prefix and suffix products of its steps, in log2(lines) rounds."""
+    n = len(unary)
+    step = np.zeros((n, 2, 2)) + pair
+    step[0] = 0
+    step[:, :, 1] += unary[:, None]
+    prefix, suffix, d = step.copy(), np.concatenate((step[1:], [[[0, -np.inf], [-np.inf, 0]]])), 1
+    while d < n:
+        prefix[d:] = _product(prefix[:-d], prefix[d:])
+        suffix[:-d] = _product(suffix[:-d], suffix[d:])
+        d *= 2
+    return prefix[:, 0], np.logaddexp(suffix[:, :, 0], suffix[:, :, 1])
+
+
+def _in_step(unary: np.ndarray, pair: np.ndarray, starts: np.ndarray, length: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
+    """Fills up and down; all texts advance one line at a time, the longest first."""
     order = np.argsort(-length, kind="stable")
-    starts, length = rows[:-1][order], length[order]
+    starts, length = starts[order], length[order]
     most = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(1, most + 1), "right")
-    n = len(unary)
-    up, down = np.zeros((n, 2)), np.zeros((n, 2))
     for t in range(most):
         i = starts[: active[t]] + t
         if t:
@@ -145,6 +164,20 @@ def forward_backward(unary: np.ndarray, pair: np.ndarray, rows: np.ndarray):
         q = q + np.stack((np.zeros(len(i)), unary[i + 1]), axis=1)
         down[i, 0] = np.logaddexp(pair[0, 0] + q[:, 0], pair[0, 1] + q[:, 1])
         down[i, 1] = np.logaddexp(pair[1, 0] + q[:, 0], pair[1, 1] + q[:, 1])
+
+
+def forward_backward(unary: np.ndarray, pair: np.ndarray, rows: np.ndarray):
+    """(P(good) per line, expected pair counts per text summed, log partition per text).
+
+    unary: score of good against bad per line; pair: 2 x 2 scores of neighbouring labels.
+    """
+    length, n = np.diff(rows), len(unary)
+    up, down = np.zeros((n, 2)), np.zeros((n, 2))
+    short = length <= LONG
+    _in_step(unary, pair, rows[:-1][short], length[short], up, down)
+    for k in np.flatnonzero(~short):
+        a, b = rows[k], rows[k + 1]
+        up[a:b], down[a:b] = _doubling(unary[a:b], pair)
     both = up + down
     z = np.logaddexp(both[:, 0], both[:, 1])
     good = np.exp(both[:, 1] - z)
@@ -211,22 +244,34 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Crf:
-    """Fits on at most `most` of the labelled documents for which learn (of doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS, most_lines: int = MAX_TRAIN_LINES) -> Crf:
+    """Fits on at most `most` of the labelled documents for which learn (of doc_id) holds, of at most `most_lines` lines."""
 
     def run(batches):
         for b in batches:
-            for at, part in tx.chunks(b.column(1)):
+            for at, part in tx.chunks(b.column(2)):
                 f, size, rows = line_features(part)
-                pick = b.column(0).slice(at, len(part)).to_pylist()
-                cut = [np.concatenate((f[a:z], size[a:z, None]), axis=1).astype(np.float32).tobytes() for a, z in zip(rows[:-1], rows[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(pick, pa.int32()), pa.array(cut, pa.binary())], ["quality", "lines"])
+                ids, label = (b.column(k).slice(at, len(part)) for k in (0, 1))
+                cut = [np.concatenate((f[a:z], size[a:z, None]), axis=1).astype(np.float32).tobytes() if z - a <= most_lines else None for a, z in zip(rows[:-1], rows[1:], strict=True)]
+                made = pa.RecordBatch.from_arrays([ids, label, pa.array(np.diff(rows)), pa.array(cut, pa.binary())], ["id", "quality", "n", "lines"])
+                yield made.filter(made.column(3).is_valid())
 
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select(F.xxhash64("doc_id").alias("id"), "quality", "text")
     arrow_rows(docs.sparkSession, 2000)
-    rows = texts.mapInArrow(lean(run), "quality int, lines binary").collect()
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.put(texts.mapInArrow(lean(run), "id long, quality int, n long, lines binary"), "lines")
+    # Only whole documents, in the order of their hash, as long as their lines fit.
+    sizes = made.select("id", "n").orderBy("id", "n").limit(most).collect()
+    room, last = most_lines, None
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        last = r["id"]
+    rows = made.where(F.col("id") <= last).collect() if last is not None else []
+    scratch.drop("lines")
     rows.sort(key=lambda r: (r.quality, bytes(r.lines)))  # the same sum in any order of tasks
     lines = [np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES) + 1).astype(float) for r in rows]
     if not lines:
