@@ -3,10 +3,15 @@
 Each language is a distribution of byte 4-grams within words. A document's words are drawn
 from its languages in unknown proportions; expectation-maximisation estimates these, and
 languages whose removal costs less likelihood than the penalty for a further language are
-dropped, smallest share first. The prediction is the remaining language of largest share.
+dropped, smallest share first. The prediction is the remaining language of largest share, of
+equals the first by name. With more than CANDIDATES languages, those of largest share after the
+first rounds are the candidates from then on: a text has few languages, and the rest would be
+dropped one by one.
 
-At most MAX_TRAIN_DOCS documents are learned from, those with the smallest hash of doc_id;
-equal texts among them count once. Texts are judged whole, and each by itself.
+At most MAX_TRAIN_DOCS documents of each language are learned from, those with the smallest
+hash of doc_id, so rare languages are learned as well; equal texts among them count once. The
+model is sent once to every executor: 256 kB for each language. Texts are judged whole, and each
+by itself; a very long one takes the memory of one task.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; so is every text if there
 is nothing to learn from. Rows with a null or empty language, or text, are not learned from.
@@ -16,13 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from palaver.llm import text as tx
 from palaver.llm.quality import fold
-from palaver.llm.shared import arrow_rows, lean
+from palaver.llm.shared import Scratch, arrow_rows, lean
 
-MAX_TRAIN_DOCS = 6000
+MAX_TRAIN_DOCS, CANDIDATES = 1500, 6
+#: Ids of documents to learn from that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.3
 ROUNDS, PENALTY = 10, 2.0
@@ -115,8 +122,14 @@ class Model:
 
         for _ in range(ROUNDS):
             share = em(share)
+        languages = len(share)
+        if languages > CANDIDATES:
+            some = np.sort(np.argsort(-share, axis=0, kind="stable")[:CANDIDATES], axis=0)
+            p = np.take_along_axis(p, np.repeat(some, count, axis=1), axis=0)
+            share = np.take_along_axis(share, some, axis=0)
+            share /= share.sum(axis=0)
         column = np.arange(len(starts))
-        for _ in range(len(each) - 1):
+        for _ in range(len(share) - 1):
             least = np.where(share > 0, share, np.inf).argmin(axis=0)
             without = share.copy()
             without[least, column] = 0
@@ -127,11 +140,15 @@ class Model:
             share = np.where(drop, without, share)
         for _ in range(3):
             share = em(share)
+        if languages > CANDIDATES:
+            whole = np.zeros((languages, len(starts)))
+            np.put_along_axis(whole, some, share, axis=0)
+            share = whole
         return share, single
 
 
 def train(docs: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Model:
-    """Learns from at most `most` of the documents for which learn (of doc_id) holds."""
+    """Learns from at most `most` documents of each language for which learn (of doc_id) holds."""
 
     def run(batches):
         for b in batches:
@@ -146,10 +163,16 @@ def train(docs: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(count[some])], ["lang", "bucket", "n"])
 
     docs = docs.select("doc_id", "text", "lang").where(learn & F.col("doc_id").isNotNull() & (F.trim("lang") != ""))
-    wanted = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    own = docs.join(F.broadcast(wanted), "doc_id").where("text is not null").select("lang", "text").distinct()
+    # The rank is cut before the shuffle too, so a large language is no large group.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    wanted = docs.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    scratch = Scratch(docs.sparkSession)
+    wanted = scratch.put(wanted, "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    own = docs.join(ids, ["doc_id", "lang"]).where("text is not null").select("lang", "text").distinct()
     arrow_rows(docs.sparkSession, 2000)
     rows = own.mapInArrow(lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    scratch.drop("wanted")
     languages = sorted(set(rows["lang"]))
     counts = np.zeros((len(languages), BUCKETS))
     counts[rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
@@ -159,9 +182,10 @@ def train(docs: DataFrame, learn: Column, most: int = MAX_TRAIN_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, in place of columns of these names."""
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    at_text = names.index(text)
+    at_text, sent = names.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        model = sent.value
         for b in batches:
             found = [model.predict(part) for _, part in tx.chunks(b.column(at_text))]
             lang, score = [x for f in found for x in f[0]], [f[1] for f in found]

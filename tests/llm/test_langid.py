@@ -49,3 +49,59 @@ def test_odd_tables(spark):
     got = langid.identify(df, m)
     assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r.lang_pred for r in got.collect()} == {"und"}
     assert langid.identify(df.limit(0), m).count() == 0
+
+
+def _objective(m, p, share):
+    return np.log((p * share[:, None]).sum(axis=0)).sum() - langid.PENALTY * np.log(p.shape[1] + 1) * (share > 0).sum()
+
+
+def test_sets_against_all_sets():
+    """The penalised likelihood of the chosen languages, against the best of every set of languages, with shares by long EM."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    roots = {"aa": "bala bolo bulu lab lob", "ee": "tik tek kit ket tiket", "ii": "mira rima mari armi rami", "oo": "fogo gofo fog offog", "uu": "bala tik mira fogo dun"}
+    m = model({k: v + " " + " ".join(r.choice(v.split()) + r.choice("xyz") for _ in range(200)) for k, v in roots.items()})
+    same = 0
+    for k in range(60):
+        langs = r.sample(sorted(roots), r.choice((1, 1, 2, 3)))
+        text = " ".join(r.choice(roots[r.choice(langs)].split()) for _ in range(r.choice((3, 20, 90))))
+        bucket, word, at = langid.grams(pa.array([text]))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        each = np.stack([np.add.reduceat(t[bucket], first, dtype=np.float64) for t in m.table])
+        p = np.exp(each - each.max(axis=0))
+        share, _ = m.mixture(each, np.array([0]), np.array([each.shape[1]]))
+        best = -np.inf
+        for n in range(1, len(roots) + 1):
+            for some in itertools.combinations(range(len(roots)), n):
+                s = np.zeros(len(roots))
+                s[list(some)] = 1 / n
+                for _ in range(200):
+                    joint = p * s[:, None] + 1e-300
+                    s = (joint / joint.sum(axis=0)).mean(axis=1) * (s > 0)
+                best = max(best, _objective(m, p + 1e-300, s))
+        got = _objective(m, p + 1e-300, share[:, 0])
+        assert got <= best + 1e-6
+        same += got >= best - 0.05 * abs(best)
+    assert same >= 57
+
+
+def test_candidates_change_nothing_for_plain_texts(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = {f"l{k}": " ".join("".join(r.choice("abcdefghij"[k : k + 4]) for _ in range(r.randint(2, 6))) for _ in range(300)) for k in range(7)}
+    texts = pa.array([" ".join(r.sample(w.split(), 40)) for w in words.values()] + [" ".join(r.sample(words["l0"].split(), 60) + r.sample(words["l6"].split(), 30))])
+    got = model(words).predict(texts)
+    monkeypatch.setattr(langid, "CANDIDATES", 100)
+    want = model(words).predict(texts)
+    assert got[0] == want[0] == [*words, "l0"] and np.allclose(got[1], want[1], atol=0.02)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"some words of the first kind {i}", "aa") for i in range(300)] + [(1000, "zzyzx qwx vvk", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    m = langid.train(df, F.lit(True), most=20)
+    assert m.languages == ["aa", "zz"]
+    assert [r.lang_pred for r in langid.identify(df.where("doc_id >= 299"), m).orderBy("doc_id").collect()] == ["aa", "zz"]
