@@ -12,22 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palaver.llm import decontaminate, langid, minhash, packing, quality
 from palaver.llm.shared import Scratch
 
-#: The least score of a language; of four, a text without any sign of one scores a quarter.
-LEAST_SHARE = 0.3
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the line field scores at 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, quality.fold(F.col("doc_id"), 3) != 1)
-    return _columns(quality.score(docs, model).where("score >= 0.5"), docs)
+    scored = quality.score(_aside(docs, "score"), model)
+    return _columns(scored.where("score >= 0.5"), docs, "score")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages; texts without a letter go."""
     model = langid.train(docs, quality.fold(F.col("doc_id"), 4) != 2)
-    found = langid.identify(docs, model)
-    return _columns(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)), docs)
+    found = langid.identify(_aside(docs, "lang_pred", "score"), model)
+    return _columns(found.where(F.col("lang_pred") != langid.UNKNOWN), docs, "lang_pred", "score")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +43,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*docs.columns)
+def _aside(docs: DataFrame, *added: str) -> DataFrame:
+    """docs with columns of these names under other ones, as the operator would replace them."""
+    return docs.withColumnsRenamed({c: f"{c}__own" for c in docs.columns if c.lower() in added})
+
+
+def _columns(rows: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col(f"{c}__own").alias(c) if c.lower() in added else F.col(c) for c in docs.columns))
 
 
 STAGES = [
