@@ -112,13 +112,26 @@ def learning_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
     return F.when(step < warmup, peak * step / max(1, warmup)).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * done)))
 
 
-def early_stop(results: DataFrame, most: int = 3) -> DataFrame:
-    """Rows up to and with the one at which `most` failures in a row were reached (column seq, ok).
+def early_stop(results: DataFrame, most: int = 3, span: int = 1 << 20) -> DataFrame:
+    """Rows up to and with the one at which `most` failures in a row were reached (columns seq, a long, and ok).
 
-    Runs are found by windows over seq alone, as the evaluation is one sequence.
+    Windows run within stretches of `span` numbers; one row for each stretch says how many failures
+    it carries on from those before it, so no task orders all rows.
     """
-    order = Window.orderBy("seq")
-    rows = results.withColumn("island", F.sum(F.col("ok").cast("int")).over(order))
-    rows = rows.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("island").orderBy("seq")))
-    stop = rows.where(F.col("failures") >= most).agg(F.min("seq").alias("stop"))
-    return rows.join(F.broadcast(stop), F.lit(True)).where("stop is null or seq <= stop").select(*results.columns)
+    rows = results.withColumn("_part", F.floor(F.col("seq") / span))
+    within = Window.partitionBy("_part").orderBy("seq")
+    rows = rows.withColumn("_oks", F.sum(F.col("ok").cast("int")).over(within))
+    tail = F.max(F.when(F.col("ok"), F.col("seq")))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n"), tail.alias("last_ok"), F.max("seq").alias("end"))
+    after = rows.join(F.broadcast(parts.select("_part", "last_ok")), "_part").groupBy("_part").agg(F.count_if(F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok"))).alias("trailing"), F.max("last_ok").isNotNull().alias("any_ok"))
+    order = Window.orderBy("_part")
+    after = after.withColumn("_run", F.sum(F.col("any_ok").cast("int")).over(order))
+    after = after.withColumn("_sum", F.sum("trailing").over(Window.partitionBy("_run").orderBy("_part")))
+    carried = after.select("_part", F.coalesce(F.lag("_sum").over(order), F.lit(0)).alias("_carried"))
+    # rowsBetween keeps equal numbers apart.
+    run = Window.partitionBy("_part", "_oks").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    failed = F.sum((~F.col("ok")).cast("int")).over(run)
+    marked = rows.withColumn("_failures", failed).join(F.broadcast(carried), "_part")
+    reached = F.col("_failures") + F.when(F.col("_oks") == 0, F.col("_carried")).otherwise(0) >= most
+    stop = marked.where(reached & ~F.col("ok")).agg(F.min("seq").alias("_stop"))
+    return results.join(F.broadcast(stop), F.lit(True)).where("_stop is null or seq <= _stop").drop("_stop")

@@ -80,32 +80,38 @@ def filler_words(turns: DataFrame, words=tx.FILLERS, assistant: str = "assistant
 def all_errors(turns: DataFrame, wake_word: str, fillers=tx.FILLERS, assistant: str = "assistant") -> DataFrame:
     """Error records of every detector over turns (conv_id, turn, role, text).
 
-    Rules on turns are one array of records on each turn, after one window; rules on whole
-    conversations group the same rows, so both come from one scan and one shuffle.
+    A conversation is gathered once, as one row, and gives all its records and a record of its
+    hash; equal conversations are counted from the latter. Both branches need the same columns
+    of the same shuffle, so the table is scanned and shuffled once.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    role = F.col("role") == assistant
-    rows = turns.select("conv_id", "turn", "role", "text").withColumns({"i": F.row_number().over(order) - 1, "before": F.lag("text").over(order), "k": F.sum(role.cast("int")).over(order)})
-    held = tx.fillers(F.col("text"), fillers)
-    uncalled = role & (F.col("k") == 1) & (F.col("i") > 0) & ~tx.mentions(F.col("before"), wake_word)
-    rule = lambda when, severity, kind, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message")))
-    found = F.array(
-        rule(F.trim(tx.empty(F.col("text"))) == "", "warning", "empty_utterance", F.lit("no content")),
-        rule(F.trim(tx.empty(F.col("role"))) == "", "warning", "missing_speaker", F.lit("no speaker")),
-        rule(uncalled, "critical", "invocation_missing", F.lit("not addressed before")),
-        rule(role & (F.size(held) > 0), "critical", "filler_words", F.concat_ws(", ", held)),
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = turns.groupBy("conv_id").agg(ordered.alias("ts"))
+    ts = F.col("ts")
+    first = F.array_position(F.transform(ts, lambda t: F.coalesce(t["role"] == assistant, F.lit(False))), True).cast("int") - 1
+
+    def record(when, severity, kind, turn, message):
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), turn.cast("long").alias("turn"), message.alias("message")))
+
+    def of_turn(t, i):
+        spoken, held = F.coalesce(t["role"] == assistant, F.lit(False)), tx.fillers(t["text"], fillers)
+        before = F.get(ts, i - 1)["text"]
+        return F.array(
+            record(F.trim(tx.empty(t["text"])) == "", "warning", "empty_utterance", t["turn"], F.lit("no content")),
+            record(F.trim(tx.empty(t["role"])) == "", "warning", "missing_speaker", t["turn"], F.lit("no speaker")),
+            record((i == first) & (i > 0) & ~tx.mentions(before, wake_word), "critical", "invocation_missing", t["turn"], F.lit("not addressed before")),
+            record(spoken & (F.size(held) > 0), "critical", "filler_words", t["turn"], F.concat_ws(", ", held)),
+        )
+
+    contents = F.array_join(F.transform(ts, lambda t: tx.empty(t["text"])), " ")
+    of_whole = F.array(
+        record(F.size(ts) < MIN_TURNS, "critical", "short_dialogue", F.lit(None), F.concat(F.size(ts).cast("string"), F.lit(" turns"))),
+        record(F.lit(True), "hash", "hash", F.lit(None), F.md5(contents.cast("binary"))),
     )
-    of_turns = rows.withColumn("e", F.explode(F.filter(found, lambda e: e.isNotNull()))).select("conv_id", "turn", "e.*")
-    contents = F.transform(F.sort_array(F.collect_list(F.struct("i", tx.empty(F.col("text")).alias("text")))), lambda t: t["text"])
-    whole = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(contents, " ").cast("binary")).alias("hash"))
-    short = whole.where(F.col("turns") < MIN_TURNS)
-    twice = whole.groupBy("hash").agg(F.count("*").alias("copies"), F.min("conv_id").alias("conv_id")).where("copies > 1")
-    parts = [
-        of_turns.select("severity", "type", F.lit(None).cast("string").alias("scenario"), F.col("conv_id").cast("string"), F.col("turn").cast("long"), "message"),
-        _error(short, "critical", "short_dialogue", F.concat(F.col("turns").cast("string"), F.lit(" turns"))),
-        _error(twice, "warning", "duplicate_dialogue", F.concat(F.col("copies").cast("string"), F.lit(" copies"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    found = F.filter(F.concat(F.flatten(F.transform(ts, of_turn)), of_whole), lambda e: e.isNotNull())
+    rows = whole.select("conv_id", F.explode(found).alias("e")).select(F.lit(None).cast("string").alias("scenario"), F.col("conv_id").cast("string").alias("conv_id"), "conv_id", "e.*").toDF("scenario", "id", "conv", "severity", "type", "turn", "message")
+    twice = rows.where("type = 'hash'").groupBy("message").agg(F.count("*").alias("copies"), F.min("conv").alias("conv_id")).where("copies > 1")
+    single = rows.where("type <> 'hash'").select("severity", "type", "scenario", F.col("id").alias("conv_id"), "turn", "message")
+    return single.unionByName(_error(twice, "warning", "duplicate_dialogue", F.concat(F.col("copies").cast("string"), F.lit(" copies"))))
 
 
 def error_summary(errors: DataFrame) -> DataFrame:

@@ -76,30 +76,28 @@ def greedy_reassign(overflow: DataFrame, pool: DataFrame, counts: DataFrame) ->
     """Gives each overflow slot, in order, to the least used eligible character of the pool.
 
     overflow: file, slot, character, gender, present (array), seq; pool: name, gender, protected,
-    position; counts: name, files. Every pick changes the counts, so this is one sequence: only
-    what exceeds the caps comes here, and the pool has one row per voice. Ties take the first in
-    pool order. A slot without an eligible character gets null.
+    position; counts: name, files. Every pick changes the counts of its gender's pool, so a gender
+    is one sequence: only what exceeds the caps comes here, and the pool, one row per voice, is
+    sent to it once. Ties take the first in pool order. A slot without an eligible character, or
+    without a gender, gets null.
     """
-    table = pool.join(counts, "name", "left").agg(F.array_sort(F.collect_list(F.struct("position", "name", "gender", "protected", F.coalesce("files", F.lit(0)).alias("files")))).alias("pool"))
-    rows = overflow.join(F.broadcast(table), F.lit(True)).withColumn("_all", F.lit(0))
+    table = pool.where(~F.col("protected")).join(counts, "name", "left").select("gender", "position", "name", F.coalesce("files", F.lit(0)).alias("files"))
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        names = list(frame["pool"].iloc[0])
-        files = {p["name"]: p["files"] for p in names}
+    def pick(frame: pd.DataFrame, voices: pd.DataFrame) -> pd.DataFrame:
+        voices = voices.sort_values("position")
+        files = dict(zip(voices["name"], voices["files"], strict=True))
         taken: dict[str, set] = {}
         out = []
-        for r in frame.itertuples():
+        for r in frame.sort_values("seq").itertuples():
             here = taken.setdefault(r.file, set(r.present))
-            fits = [p["name"] for p in names if p["gender"] == r.gender and not p["protected"] and p["name"] not in here]
-            best = min(fits, key=lambda n: files[n], default=None)
+            best = min((n for n in files if n not in here), key=files.get, default=None)
             if best is not None:
                 files[best] += 1
                 here.add(best)
             out.append((r.file, r.slot, r.character, best))
         return pd.DataFrame(out, columns=["file", "slot", "character", "given"])
 
-    return rows.groupBy("_all").applyInPandas(pick, "file string, slot string, character string, given string")
+    return overflow.groupBy("gender").cogroup(table.groupBy("gender")).applyInPandas(pick, "file string, slot string, character string, given string")
 
 
 def rename(text: str, names: dict[str, str]) -> str:

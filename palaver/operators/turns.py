@@ -83,12 +83,18 @@ def context_vectors(contexts: DataFrame, vectors: DataFrame, dim: int, most: int
 
 
 def since_last_turn(turns: DataFrame) -> DataFrame:
-    """since: the turns after the speaker's last one before this, or the last two if there is none."""
-    own = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("turn").over(own)
-    every = F.collect_list("turn").over(_before())
-    since = F.when(F.col("last").isNull(), F.slice("every", F.greatest(F.size("every") - 1, F.lit(1)), 2)).otherwise(F.filter("every", lambda t: t > F.col("last")))
-    return turns.withColumns({"last": last, "every": every}).withColumn("since", since).drop("last", "every")
+    """since: the turns after the speaker's last one before this, or the last two if there is none.
+
+    A conversation is one array of its turns, from which every turn takes its slice.
+    """
+    own = Window.partitionBy("conv_id", "role").orderBy("turn")
+    rows = turns.withColumn("_i", F.row_number().over(_order())).withColumn("_last", F.lag("_i").over(own))
+    row = F.struct("_i", "_last", F.struct(*turns.columns).alias("row"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    numbers = F.transform("_rows", lambda r: r["row"]["turn"])
+    first = lambda r: F.coalesce(r["_last"] + 1, F.greatest(r["_i"] - 2, F.lit(1)))
+    out = whole.withColumn("_turns", numbers).select(F.explode(F.transform("_rows", lambda r: F.struct(r["row"].alias("row"), F.slice("_turns", first(r), r["_i"] - first(r)).alias("since")))).alias("_x"))
+    return out.select("_x.row.*", F.col("_x.since").alias("since"))
 
 
 def first_interaction(turns: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
@@ -147,12 +153,14 @@ def scene_trim(timed: DataFrame, keep: int, tail: float = 6.0) -> DataFrame:
 
 
 def mix_offsets(timed: DataFrame, gap: Column) -> DataFrame:
-    """offset at which each turn is mixed: after the one before plus gap (negative overlaps), never below 0."""
-    at = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    """offset at which each turn is mixed: after the one before plus gap (negative overlaps), never below 0.
+
+    A sum that is held at 0 is the plain running sum less its lowest value so far, if that is below 0.
+    """
     rows = timed.withColumns({"length": F.col("end") - F.col("start"), "gap": gap})
-    history = F.collect_list(F.struct("length", "gap")).over(at)
-    fold = F.aggregate("history", F.lit(0.0), lambda acc, x: F.greatest(acc + x["length"] + x["gap"], F.lit(0.0)))
-    return rows.withColumn("history", history).withColumn("offset", fold).drop("history")
+    rows = rows.withColumn("_sum", F.coalesce(F.sum(F.col("length") + F.col("gap")).over(_before()), F.lit(0.0)))
+    lowest = F.min("_sum").over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("offset", F.col("_sum") - F.least(lowest, F.lit(0.0))).drop("_sum")
 
 
 def pause_statistics(rows: DataFrame, gap: str = "gap") -> DataFrame:

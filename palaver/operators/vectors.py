@@ -5,7 +5,10 @@ Vectors are arrays of unit norm; arithmetic is in double precision. Distances ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Centroids of one array.
+MAX_CENTROIDS = 2000
 
 
 def as_double(v: Column) -> Column:
@@ -78,16 +81,27 @@ def nearest_neighbors(means: DataFrame, group: str) -> DataFrame:
     return best.select(group, "m.neighbor", "m.distance")
 
 
-def identify(rows: DataFrame, means: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """predicted: the group of the most similar centroid, of equals the first. All centroids are one array on each row."""
-    table = means.agg(F.array_sort(F.collect_list(F.struct(group, "centroid"))).alias("means"))
+def identify(rows: DataFrame, means: DataFrame, group: str, key: str, vector: str, block: int = MAX_CENTROIDS) -> DataFrame:
+    """predicted: the group of the most similar centroid, of equals the first.
+
+    Centroids are compared in arrays of `block`. One array is broadcast; more of them are dealt to
+    the rows, and a row keeps the best of each array before its results meet in one shuffle.
+    """
+    count = means.count()
+    rank = F.row_number().over(Window.orderBy(group)) - 1 if count <= block else F.xxhash64(group)
+    blocks = max(1, -(-count // block))
+    table = means.withColumn("_b", F.pmod(rank, F.lit(blocks)).cast("int")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct(group, "centroid"))).alias("means"))
     v = as_double(F.col(vector))
     best = F.aggregate(
         F.transform("means", lambda m: F.struct(m[group].alias("g"), dot(v, m["centroid"]).alias("s"))),
         F.struct(F.lit(None).cast(rows.schema[group].dataType).alias("g"), F.lit(float("-inf")).alias("s")),
         lambda acc, m: F.when(m["s"] > acc["s"], m).otherwise(acc),
     )
-    return rows.join(F.broadcast(table), F.lit(True)).select(key, group, best["g"].alias("predicted"))
+    if blocks == 1:
+        return rows.join(F.broadcast(table), F.lit(True)).select(key, group, best["g"].alias("predicted"))
+    dealt = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(table, "_b").select(key, group, best.alias("x"))
+    top = dealt.groupBy(key, group).agg(F.max(F.col("x.s")).alias("_s"), F.collect_list("x").alias("_x"))
+    return top.select(key, group, F.array_min(F.transform(F.filter("_x", lambda x: x["s"] == F.col("_s")), lambda x: x["g"])).alias("predicted"))
 
 
 def accuracy(predicted: DataFrame, group: str) -> DataFrame:

@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def relative(root: str) -> Column:
+def relative(root: str, file: Column | None = None) -> Column:
     """The part of the file's path below root."""
     bare = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path") if file is None else file, r"\+", "%2B"))
     return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), rf"^.*?\Q{bare}\E/", "")
 
 
@@ -42,21 +42,15 @@ def scan_json(spark: SparkSession, root: str, schema: str, excluded=EXCLUDED) ->
 def malformed_files(spark: SparkSession, root: str, excluded=EXCLUDED) -> DataFrame:
     """Paths of JSON files that hold nothing or do not parse.
 
-    Spark's scans pass over files of no bytes, so those are taken from the folder's listing.
+    Spark's scans pass over files of no bytes: what is listed but not read is one of those. The
+    listing is Spark's own, done once for the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(relative(root, F.col("file")).alias("path"))
     text = F.col("content").cast("string")
     bad = F.try_parse_json(text).isNull() | ~text.rlike(r"\S")
-    files = files.select(relative(root).alias("path"), bad.alias("bad")).where("bad").select("path")
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, listing, empty = fs.makeQualified(top).toString(), fs.listFiles(top, True), []
-    while listing.hasNext():
-        f = listing.next()
-        name = f.getPath().toString()
-        if f.getLen() == 0 and name.endswith(".json"):
-            empty.append((name.removeprefix(base).lstrip("/"),))
-    files = files.union(spark.createDataFrame(empty, "path string"))
+    read = files.select(relative(root).alias("path"), bad.alias("bad"))
+    files = listed.join(read, "path", "left").where("bad or bad is null").select("path")
     for part in excluded:
         files = files.where(~F.contains(F.col("path"), F.lit(part)))
     return files

@@ -201,3 +201,40 @@ def test_all_errors_agree_with_single_detectors(spark):
         "invocation_missing": quality.missing_invocations(df, "that").count(), "filler_words": quality.filler_words(df, ("ly", "er")).count(), "duplicate_dialogue": quality.duplicate_dialogues(df).count(),
     }
     assert every == {k: n for k, n in alone.items() if n}
+
+
+@pytest.mark.parametrize("span", [3, 1 << 20])
+def test_early_stop_against_a_loop(spark, span):
+    import random
+
+    r = random.Random(1)
+    for k in range(8):
+        ok = [r.random() < 0.6 for _ in range(40)] if k else [True] * 5
+        seqs = sorted(r.sample(range(200), len(ok)))
+        want, run = [], 0
+        for s, o in zip(seqs, ok):
+            want.append(s)
+            run = 0 if o else run + 1
+            if run == 4:
+                break
+        rows = spark.createDataFrame(list(zip(seqs, ok)), "seq long, ok boolean").repartition(3)
+        assert sorted(x.seq for x in detect.early_stop(rows, 4, span).collect()) == want
+
+
+def test_identify_in_blocks(spark):
+    import random
+
+    r = random.Random(2)
+    unit = lambda: [x / sum(v * v for v in vs) ** 0.5 for vs in [[r.gauss(0, 1) for _ in range(3)]] for x in vs]
+    means = spark.createDataFrame([(g, unit()) for g in range(17)] + [(17, [1.0, 0.0, 0.0]), (18, [1.0, 0.0, 0.0])], "label int, centroid array<double>")
+    rows = spark.createDataFrame([(i, i % 19, unit()) for i in range(40)] + [(99, 3, [1.0, 0.0, 0.0])], "id int, label int, v array<double>")
+    one, many = (sorted(map(tuple, vectors.identify(rows, means, "label", "id", "v", block).collect())) for block in (100, 4))
+    assert one == many and (99, 3, 17) in one
+
+
+def test_reassign_by_gender(spark):
+    pool = spark.createDataFrame([("Ann", "f", False, 0), ("Bea", "f", False, 1), ("Cid", "m", False, 2), ("Dan", "m", True, 3)], "name string, gender string, protected boolean, position int")
+    counts = spark.createDataFrame([("Ann", 2), ("Cid", 5)], "name string, files int")
+    over = spark.createDataFrame([("f1", "a", "X", "f", ["Bea"], 1), ("f2", "a", "X", "f", [], 2), ("f3", "a", "X", "f", [], 3), ("f4", "b", "Y", "m", ["Cid"], 4), ("f5", "b", "Y", "m", [], 5), ("f6", "b", "Z", "x", [], 6)], "file string, slot string, character string, gender string, present array<string>, seq int")
+    got = {r.file: r.given for r in select.greedy_reassign(over, pool, counts).collect()}
+    assert got == {"f1": "Ann", "f2": "Bea", "f3": "Bea", "f4": None, "f5": "Cid", "f6": None}

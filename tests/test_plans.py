@@ -50,3 +50,17 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_group_limit_cuts_before_the_shuffle(spark):
     text = plan(registry.queries()["topk_checkpoints"](spark, FOLDER))
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_errors_scan_and_shuffle_once(spark):
+    query = registry.queries()["error_summary"](spark, FOLDER)
+    query.collect()
+    final = plan(query).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("name", ["ensemble_sweep", "release_collect", "mix_offsets"])
+def test_each_table_is_scanned_once(spark, name):
+    text = plan(registry.queries()[name](spark, FOLDER))
+    scans = re.findall(r"FileScan parquet", text)
+    assert len(scans) == (4 if name == "release_collect" else 1)
