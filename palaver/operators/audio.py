@@ -16,6 +16,8 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from palaver.operators import signal
+
 KNOWN_RATES = (8000, 16000, 22050, 24000, 44100, 48000)
 MIN_SECONDS, SILENT_RMS, MOSTLY_SILENT, OFTEN_SILENT, CLIPPED_SHARE = 2.0, 0.001, 0.95, 0.5, 1e-4
 
@@ -136,16 +138,23 @@ def assemble(parts: list[tuple[float, np.ndarray]], background: np.ndarray | Non
 
 #: Perturbations by name: (samples, rate) to samples.
 PERTURBATIONS = {
-    "eq_tilt": lambda x, rate: tilt(x, 3.0, 1000.0, rate),
+    "bandwidth_limit": signal.telephone,
+    "eq_tilt": lambda x, rate: signal.pre_emphasis(x),
+    "reverb": signal.reverberate,
     "noise_15db": lambda x, rate: add_noise(x, 15.0, 15),
     "noise_5db": lambda x, rate: add_noise(x, 5.0, 5),
 }
 
 
+def normalize_channel(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Common band, then common loudness."""
+    return loudness(signal.band_pass(samples, rate, *signal.COMMON_BAND, order=2))
+
+
 def features(samples: np.ndarray, rate: int) -> dict[str, float | None]:
     """Channel features of a recording."""
     if not len(samples):
-        return dict.fromkeys(("effective_bandwidth_hz", "spectral_slope_db", "estimated_snr_db", "clipping_rate", "median_f0_hz"))
+        return dict.fromkeys(("effective_bandwidth_hz", "spectral_slope_db", "estimated_snr_db", "clipping_rate", "spectral_flatness", "median_f0_hz"))
     power, hz = np.abs(np.fft.rfft(samples)) ** 2, np.fft.rfftfreq(len(samples), 1 / rate)
     total = power.sum()
     band = float(hz[min(int(np.searchsorted(np.cumsum(power) / total, 0.99)), len(hz) - 1)]) if total > 0 else None
@@ -155,7 +164,7 @@ def features(samples: np.ndarray, rate: int) -> dict[str, float | None]:
     rms = np.sqrt((frames**2).mean(axis=1))
     floor, speech = np.percentile(rms, (10, 50))
     snr = float(20 * np.log10((speech + 1e-12) / (floor + 1e-12))) if len(rms) >= 10 and floor > 0 else None
-    return {"effective_bandwidth_hz": band, "spectral_slope_db": slope, "estimated_snr_db": snr, "clipping_rate": float(np.mean(np.abs(samples) >= 0.99)), "median_f0_hz": pitch(samples, rate)}
+    return {"effective_bandwidth_hz": band, "spectral_slope_db": slope, "estimated_snr_db": snr, "clipping_rate": float(np.mean(np.abs(samples) >= 0.99)), "spectral_flatness": signal.flatness(samples), "median_f0_hz": pitch(samples, rate)}
 
 
 def pitch(samples: np.ndarray, rate: int) -> float | None:
@@ -284,10 +293,40 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("name", "content").mapInPandas(run, "name string, bytes long")
 
 
-_FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("effective_bandwidth_hz", "spectral_slope_db", "estimated_snr_db", "clipping_rate", "median_f0_hz")])
+_FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("effective_bandwidth_hz", "spectral_slope_db", "estimated_snr_db", "clipping_rate", "spectral_flatness", "median_f0_hz")])
 
 
 @F.pandas_udf(_FEATURES)
 def channel_features(content: pd.Series) -> pd.DataFrame:
     """features() of WAV bytes, as a struct."""
     return pd.DataFrame([features(*decode(bytes(c))) for c in content], columns=_FEATURES.names, dtype="float64")
+
+
+_VOICE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("median_f0_hz", "f0_range_hz", "f0_std_hz", "f0_cv", "voiced_fraction", "hnr_db", "jitter_local_pct", "shimmer_local_pct", "f1_hz", "f2_hz", "f3_hz")])
+
+
+@F.pandas_udf(_VOICE)
+def voice_features(content: pd.Series) -> pd.DataFrame:
+    """signal.voice() of WAV bytes, as a struct."""
+    return pd.DataFrame([signal.voice(*decode(bytes(c))) for c in content], columns=_VOICE.names, dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+def mel_features(content: pd.Series) -> pd.Series:
+    """signal.filter_banks() of WAV bytes: an array of frames."""
+    return pd.Series([signal.filter_banks(*decode(bytes(c))).astype(np.float32).tolist() for c in content])
+
+
+def feature_rows(files: DataFrame) -> DataFrame:
+    """utterance_id, text and more of files (with content), with channel and voice features and the speaking rate, one column each."""
+    rows = files.withColumns({"_c": channel_features("content"), "_v": voice_features("content"), "_s": wav_seconds("content")})
+    keep = [F.col(c) for c in files.columns if c != "content"]
+    channel = [F.col(f"_c.{f.name}") for f in _FEATURES.fields if f.name != "median_f0_hz"]
+    rate = F.when(F.length(F.trim("text")) > 0, F.try_divide(F.regexp_count("text", F.lit(r"(?U)\S+")), F.nullif("_s", F.lit(0.0)))).alias("speaking_rate_wps")
+    return rows.select(*keep, *channel, *(F.col(f"_v.{f.name}") for f in _VOICE.fields), rate)
+
+
+@F.pandas_udf(T.DoubleType())
+def wav_seconds(content: pd.Series) -> pd.Series:
+    found = [decode(bytes(c)) for c in content]
+    return pd.Series([len(x) / rate if rate else None for x, rate in found], dtype="float64")
