@@ -106,6 +106,14 @@ def weighted_loss(logit: Column, label: Column, positive_weight: float, smoothin
     return positive_weight * y * softplus(-logit) + (1 - y) * softplus(logit)
 
 
+def cross_entropy(logits: Column, label: Column, smoothing: float = 0.0) -> Column:
+    """Cross-entropy of an array of class logits with the label's position, smoothed over the classes."""
+    top = F.array_max(logits)
+    total = top + F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x))
+    mean = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x) / F.size(logits)
+    return total - (1 - smoothing) * F.get(logits, label) - smoothing * mean
+
+
 def learning_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
     """Linear warm-up, then half a cosine down to 0."""
     done = F.least(F.lit(1.0), (step - warmup) / max(1, total - warmup))

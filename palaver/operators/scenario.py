@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -168,8 +169,9 @@ def gaps(turns: DataFrame, seed: str, interjections: dict[str, tuple[float, floa
 def call_model(rows: DataFrame, make: Callable[[], Callable[[pd.Series], list]], column: str, result: str = "response", tries: int = 3, wait: float = 1.0) -> DataFrame:
     """Adds result: what an outside model gives for a column, batch by batch, null after the last failed try.
 
-    make() builds the client once per task; the wait doubles from try to try. Limit concurrency
-    by the number of partitions, and filter finished rows out before.
+    make() builds the client once per task; the wait doubles from try to try, unless the error says
+    how long to wait (retry_after, in seconds). Limit concurrency by the number of partitions, and
+    filter finished rows out before.
     """
     names = [c for c in rows.columns if c != result]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema.fields) + f", `{result}` string"
@@ -182,9 +184,34 @@ def call_model(rows: DataFrame, make: Callable[[], Callable[[pd.Series], list]],
                 try:
                     out = client(f[column])
                     break
-                except Exception:  # the client's errors are its own; a row without an answer keeps null
+                except Exception as e:  # the client's errors are its own; a row without an answer keeps null
                     if k + 1 < tries:
-                        time.sleep(wait * 2**k)
+                        asked = getattr(e, "retry_after", None)
+                        time.sleep(wait * 2**k if asked is None else float(asked))
             yield f.assign(**{result: out})
 
     return rows.select(names).mapInPandas(run, schema)
+
+
+def rewrite_briefs(rows: DataFrame, make: Callable[[], Callable[[pd.Series], list]], column: str, wait: float = 1.0) -> DataFrame:
+    """rewritten: briefs that mention the assistant as a model rewrites them, asked once more where it still does; null if both fail.
+
+    Other briefs stay as they are. One pass over the rows: both calls are made in the same task.
+    """
+    pattern = re.compile(tx.BRIEF_MENTION, re.I)
+
+    def twice():
+        client = make()
+
+        def ask(texts: pd.Series) -> list:
+            out = texts.tolist()
+            for _ in range(2):
+                again = [i for i, t in enumerate(out) if t and pattern.search(t)]
+                if again:
+                    for i, t in zip(again, client(pd.Series([out[i] for i in again])), strict=True):
+                        out[i] = t
+            return [None if t and pattern.search(t) else t for t in out]
+
+        return ask
+
+    return call_model(rows, twice, column, "rewritten", wait=wait)

@@ -108,6 +108,42 @@ def rename(text: str, names: dict[str, str]) -> str:
     return re.sub(r"\b(" + "|".join(map(re.escape, order)) + r")\b", lambda m: names[m[1]], text)
 
 
+def _object(text: str, name: str, start: int, end: int) -> tuple[int, int] | None:
+    """Where the object that a JSON text has under a name between two places begins and ends."""
+    found = re.compile(rf'"{re.escape(name)}"\s*:\s*\{{').search(text, start, end)
+    if not found:
+        return None
+    depth, quoted, k = 1, False, found.end()
+    while k < end and depth:
+        c = text[k]
+        if quoted:
+            k += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        else:
+            depth += (c == "{") - (c == "}")
+        k += 1
+    return found.end(), k
+
+
+def retarget(text: str, block: str, keys: dict[str, str]) -> str:
+    """The text of a config in which the roles of one block have the backstory files of new characters; the rest stays as it is."""
+    for role, key in keys.items():
+        outer = _object(text, block, 0, len(text))
+        inner = outer and _object(text, role, *outer)
+        if inner:
+            part = re.sub(r'("backstory_file"\s*:\s*)"[^"]*"', lambda m: f'{m[1]}"{key}.txt"', text[slice(*inner)], count=1)
+            text = text[: inner[0]] + part + text[inner[1] :]
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def retarget_all(text: pd.Series, block: pd.Series, keys: pd.Series) -> pd.Series:
+    """retarget() of each text with its own block and map of roles."""
+    return pd.Series([None if t is None else retarget(t, b or "", dict(k or {})) for t, b, k in zip(text, block, keys, strict=True)])
+
+
 @F.pandas_udf(T.StringType())
 def rename_all(text: pd.Series, names: pd.Series) -> pd.Series:
     """rename() of each text with its own map of names."""

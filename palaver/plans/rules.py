@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.functions import text as tx
-from palaver.operators import scenario
+from palaver.operators import pages, scenario
 from palaver.plans.conversations import conversations
 from palaver.sources import tables
 
@@ -245,7 +245,44 @@ def variations_joined(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", F.array_join(scenario.appended(F.array(F.lit("base")), new), "|").alias("variations"))
 
 
+_FILES = "case doc_id % 4 when 0 then concat(source, '/_background_debug/f', doc_id, '.wav') when 1 then concat(source, '/f', doc_id, '.json') else concat(source, '/', lang, '/f', doc_id, '.wav') end"
+
+
+def first_files(spark, d):
+    return pages.first_files(tables.table(spark, d, "documents").selectExpr("source", f"{_FILES} as path"), "source", ".wav")
+
+
+def voice_cards(spark, d):
+    parts = tables.table(spark, d, "part").withColumn("name", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+    samples = parts.select("name", F.col("p_brand").alias("voice_id"))
+    listed = parts.where("p_partkey % 5 <> 0").select("name", F.when(F.col("p_partkey") % 3 == 0, "other").otherwise(F.col("p_brand")).alias("voice_id"), F.when(F.col("p_size") > 9, F.col("p_type")).alias("description"), F.lit("f").alias("gender"))
+    intros = parts.where("p_partkey % 7 <> 0").select("name", F.concat(F.lit("  I am "), "p_name", F.lit(" ")).alias("text"))
+    return pages.voice_cards(samples, listed, intros).select("name", "voice_id", "description", "gender", "intro", "fault")
+
+
+def compared_pairs(spark, d):
+    rows = tables.table(spark, d, "part").selectExpr("concat(case when p_partkey % 3 = 0 then 'no_va_' else '' end, 'scene_', p_partkey) as ours", "concat('r', p_partkey % 50) as real")
+    files = rows.where("substr(ours, -1) <> '4'").selectExpr("ours as name", "length(ours) * 1.25 as duration").union(rows.where("real <> 'r9'").select("real", F.lit(7.0)).distinct())
+    return pages.compared_pairs(rows, files.withColumn("duration", F.col("duration").cast("double")))
+
+
+def roles_merged(spark, d):
+    n = F.col("p_partkey")
+    return tables.table(spark, d, "part").select("p_partkey", pages.merged_role(F.col("p_type"), F.when(n % 2 == 0, F.col("p_name")), F.when(n % 3 == 0, F.col("p_brand"))).alias("role"))
+
+
+def prompts_joined(spark, d):
+    x = F.col("p_size")
+    return tables.table(spark, d, "part").select("p_partkey", F.md5(pages.prompt(F.col("p_name"), F.when(x % 2 == 0, "  "), F.when(x % 3 == 0, F.col("p_type")), F.lit("end")).cast("binary")).alias("prompt"))
+
+
+def file_provenance(spark, d):
+    files = tables.table(spark, d, "pages").select(F.col("page_id").alias("name"), F.when(F.col("page_id") % 5 != 0, F.col("html").cast("binary")).alias("content"))
+    return pages.provenance(files, {"commit": "abc", "dirty": "no"})
+
+
 QUERIES = {f.__name__: f for f in (
+    first_files, voice_cards, compared_pairs, roles_merged, prompts_joined, file_provenance,
     path_decode, conversation_types, turns_estimate, silent_variants, va_partition, twin_names, missing_twins, assistant_mentions, affirmative_dropped, directives_dropped,
     phases_without_assistant, wake_prepended, wrapper_stripped, speaker_stripped, nested_cut, speakable, asr_tokens, file_names, seconds_parsed, json_sliced, silence_flags,
     speakers_normal, assistant_forced, speaker_names, voices_resolved, voice_pool, durations_shown, durations_resolved, traits_found, variation_names, keyword_files, outcomes,
@@ -364,4 +401,12 @@ select conv_id, turn, case when e and hit then 'TP' when e then 'FN' when hit th
     "eligible_categories": "select distinct p_brand as category from part where p_brand not in ('Brand#2', 'Brand#4')",
     "risky_names": f"select p_partkey, array_to_string(list_filter(w, lambda x: list_contains({_RISK}, x)), ',') as risky from (select p_partkey, string_split(lower(p_name), ' ') as w from part)",
     "variations_joined": "select p_partkey, 'base' || case p_size % 3 when 0 then '|' || p_name || '|' || p_type when 1 then '|' || p_brand else '' end as variations from part",
+    "first_files": f"with f as (select source, {_FILES} as path from documents) select source, min(path) as path from f where ends_with(path, '.wav') and not contains(path, '/_background_debug/') group by 1",
+    "voice_cards": """select p_name || ' ' || p_partkey as name, p_brand as voice_id, case when p_partkey % 5 <> 0 and p_size > 9 then p_type else '' end as description, case when p_partkey % 5 <> 0 then 'f' else '' end as gender,
+  case when p_partkey % 7 <> 0 then 'I am ' || p_name end as intro, case when p_partkey % 7 = 0 then 'no intro' when p_partkey % 5 = 0 or p_partkey % 3 = 0 then 'voice differs' end as fault from part""",
+    "compared_pairs": """with p as (select case when p_partkey % 3 = 0 then 'no_va_' else '' end || 'scene_' || p_partkey as ours, 'r' || (p_partkey % 50) as real, 'scene ' || p_partkey as label from part)
+select ours, real, label, case when ours[-1] <> '4' then round(length(ours) * 1.25::double, 1) end as ours_seconds, case when real <> 'r9' then 7::double end as real_seconds, ours[-1] <> '4' and real <> 'r9' as complete from p""",
+    "roles_merged": "select p_partkey, case when p_partkey % 2 = 0 then p_name else p_type end || case when p_partkey % 3 = 0 then ' ' || p_brand else '' end as role from part",
+    "prompts_joined": "select p_partkey, md5(p_name || chr(10) || chr(10) || case when p_size % 3 = 0 then p_type || chr(10) || chr(10) else '' end || 'end') as prompt from part",
+    "file_provenance": "select page_id as name, case when page_id % 5 <> 0 then strlen(html) end as bytes, case when page_id % 5 <> 0 then sha256(html) end as sha256, 'abc' as commit, 'no' as dirty from pages",
 }

@@ -216,16 +216,60 @@ def write_manifest(rows: DataFrame, path: str, seed: str, ratios) -> None:
     doc.select(F.to_json(F.struct(F.lit(seed).alias("seed"), F.array(*map(F.lit, ratios)).alias("ratios"), "groups")).alias("value")).coalesce(1).write.text(path)
 
 
+def write_variations(variations: DataFrame, manifest: DataFrame, path: str) -> None:
+    """The manifest's variations (category, variant_type, name, group_key) with their split, by category and name, as JSON lines."""
+    rows = variations.join(manifest.select("group_key", "split"), "group_key", "left").orderBy("category", "name")
+    rows.select(F.to_json(F.struct("category", "variant_type", "name", "group_key", "split")).alias("value")).write.text(path)
+
+
+def text_manifest(metrics: DataFrame, errors: DataFrame, key: str = "scenario") -> DataFrame:
+    """One row per scenario: its metrics and its number of errors, 0 without any."""
+    counted = errors.groupBy(key).agg(F.count("*").alias("errors"))
+    return metrics.join(counted, key, "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+
+
+def load_split(spark: SparkSession, repo: str, revision: str = "main", split: str = "train") -> DataFrame:
+    """Rows of one split of one revision of a published dataset; the split prunes its folder."""
+    return spark.read.parquet(f"{repo.rstrip('/')}/{revision}").where(F.col("split") == split)
+
+
+def ratings_table(spark: SparkSession, path: str) -> DataFrame:
+    """Ratings of a study; a score that is no number is null."""
+    schema = "participant_id string, stimulus_id string, dimension string, corpus string, score double, scenario string, duration double"
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
 
 
 def write_ledger(snapshot: DataFrame, root: str, version: str) -> None:
-    """A new snapshot folder, then the history: readers take the newest complete snapshot."""
-    snapshot.write.parquet(f"{root}/snapshots/{version}")
+    """A new snapshot folder, then the history: readers take the newest complete snapshot.
+
+    The folder appears under its name only when whole, so a reader or a second writer never meets a part of it.
+    """
+    spark = snapshot.sparkSession
+    part, whole = (spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}") for x in (f".part-{version}", f"snapshots/{version}"))
+    store = part.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(whole):
+        raise FileExistsError(f"snapshot {version} is there already")
+    snapshot.write.mode("overwrite").parquet(part.toString())
+    store.mkdirs(whole.getParent())
+    if not store.rename(part, whole):
+        raise FileExistsError(f"snapshot {version} could not take its place")
     snapshot.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/history")
 
 
+def read_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete snapshot, by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots")
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath().toString() for s in store.listStatus(where) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"{root} has no complete snapshot")
+    return spark.read.parquet(max(done))
+
+
 def merge_cache(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new take the place of rows of old with the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

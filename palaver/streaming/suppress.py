@@ -61,3 +61,41 @@ def stream_state(events: DataFrame, key: str, order: list[str], kind: str, sets:
 def with_timeout(responses: DataFrame, seconds: float = 30.0) -> DataFrame:
     """A turn that took longer than the limit answers [TIMEOUT], which counts as triggered."""
     return responses.withColumn("response", F.when(F.col("waited") > seconds, "[TIMEOUT]").otherwise(F.col("response")))
+
+
+def stream_timeouts(events: DataFrame, key: str, kind: str, starts: str, ends: str, at: str, seconds: float = 30.0) -> DataFrame:
+    """Per key and turn of a stream: its response, or [TIMEOUT] once event time passes its start by the limit.
+
+    events need a watermark on `at` (a timestamp) and a column response. A key has one open turn at a
+    time; a turn that answers late has timed out by then. Returns key, start and response.
+    """
+    schema = f"`{key}` {dict(events.dtypes)[key]}, start timestamp, response string"
+    limit = int(seconds * 1000)
+
+    def advance(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        begun = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            out.append((who[0], pd.Timestamp(begun, unit="ms"), "[TIMEOUT]"))
+            begun = None
+        else:
+            rows = pd.concat(list(frames)).sort_values(at)
+            for k, t, response in zip(rows[kind], rows[at], rows["response"], strict=True):
+                now = int(t.timestamp() * 1000)
+                if k == starts:
+                    if begun is not None:
+                        out.append((who[0], pd.Timestamp(begun, unit="ms"), "[TIMEOUT]"))
+                    begun = now
+                elif k == ends and begun is not None:
+                    out.append((who[0], pd.Timestamp(begun, unit="ms"), response if now - begun <= limit else "[TIMEOUT]"))
+                    begun = None
+        if begun is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((begun,))
+            state.setTimeoutTimestamp(max(begun + limit, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "start", "response"])
+
+    grouped = events.select(key, kind, at, "response").groupBy(key)
+    return grouped.applyInPandasWithState(advance, schema, "begun long", "append", GroupStateTimeout.EventTimeTimeout)
