@@ -149,10 +149,12 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _points(vectors: DataFrame) -> DataFrame:
+    """Sound vectors, in their own precision: single precision halves what is shuffled, and cosines are taken in double."""
     v = F.col("embedding")
+    kind = vectors.schema["embedding"].dataType.simpleString()
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
     sound &= ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label").where(sound).distinct()
+    rows = vectors.select(F.col("vec_id").cast("long"), v if kind in ("array<float>", "array<double>") else v.cast("array<double>"), "label").where(sound).distinct()
     return rows
 
 
