@@ -31,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from palaver.llm import text as tx
 from palaver.llm.shared import Scratch, arrow_rows, components, lean, spanning
@@ -254,6 +254,16 @@ def open_links(similarity: float):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
+    signed, classes = text_classes(docs, words, similarity, bands, rows, pivots, block)
+    out = signed.select("doc_id", "print").join(classes.select("print", "class_id"), "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def text_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and print of each row; print, node and class_id of each different text).
+
+    node: the smallest doc_id with the text; class_id: the smallest node of the text's class.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     signed = scratch.put(sign(docs, words, bands, rows), "signed")
     named = signed.where("print is not null and doc_id is not null")
@@ -290,10 +300,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     links = links.union(scratch.put(rest.distinct(), "rest"))
     scratch.drop("sources", "sets")
     labels = components(scratch, links)
-    classes = texts.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("class_id"))
-    classes = scratch.put(classes, "classes")
-    out = signed.select("doc_id", "print").join(classes, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    classes = texts.select("print", "node").join(labels, "node", "left").select("print", "node", F.coalesce("label", "node").alias("class_id"))
+    return signed.select("doc_id", "print"), scratch.put(classes, "classes")
 
 
 def _unfinished(scratch: Scratch, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -306,21 +314,46 @@ def _unfinished(scratch: Scratch, members: DataFrame, links: DataFrame, name: st
     return out
 
 
+def printed(docs: DataFrame) -> DataFrame:
+    """docs with _print, the hash of a text's words that classes go by; null without words."""
+    names = docs.columns
+    at_text = names.index("text")
+
+    def run(batches):
+        for b in batches:
+            prints = []
+            for _, part in tx.chunks(b.column(at_text)):
+                hashes, rows, _, _ = tx.words(tx.plain(part))
+                prints += _fingerprints(hashes, rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary())], [*names, "_print"])
+
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("_print", T.BinaryType())]))
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, of its first doc_id; rows without doc_id all stay."""
+    """docs with one row of each class; rows without doc_id all stay.
+
+    What stays is a text of the class's first doc_id. Where rows share a doc_id, each is judged by
+    its own text, so every class keeps one of its texts; of repeated rows one stays.
+    """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.put(near_duplicates(docs.select("doc_id", "text"), **options), "found")
+    signed, classes = text_classes(docs.select("doc_id", "text"), **options)
 
     def small(ids: DataFrame, name: str) -> DataFrame:
         ids = scratch.put(ids, name)
         return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
-    gone = small(found.where("not kept").select("doc_id").distinct(), "gone")
-    repeated = small(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    left = docs.join(gone, "doc_id", "left_anti")
-    row = F.struct(*docs.columns)
-    first = left.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.xxhash64("text")).alias("row"))
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(first.select("row.*").select(docs.columns))
+    named = signed.where("doc_id is not null")
+    repeated = small(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    gone = small(named.join(classes, "print").where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    alone = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
+    # Several texts may have the class's first doc_id: the one with the least hash stands for the class.
+    chosen = classes.where("node = class_id").groupBy("class_id").agg(F.min("print").alias("_print"))
+    shared = printed(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    first = shared.groupBy(F.col("doc_id").alias("_id"), "_print").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
+    first = scratch.put(first, "first")
+    first = first.where("_print is null").unionByName(first.join(chosen.select(F.col("class_id").alias("_id"), "_print"), ["_id", "_print"], "left_semi"))
+    return alone.select(docs.columns).union(first.select("row.*").select(docs.columns))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

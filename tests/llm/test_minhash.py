@@ -121,3 +121,18 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {k: v for k, v in label.items() if k in got} and {k for e in edges for k in e if e[0] != e[1]} == set(got)
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_texts(spark):
+    import random
+
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(900)}" for _ in range(60))
+    one, two, three = text(), text(), text()
+    rows = [(5, one), (5, two), (3, two), (7, one + " more"), (9, three), (9, three), (9, three + " x"), (4, None), (4, None), (4, one), (None, one), (11, text())]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = [(str(x.doc_id), x.text) for x in minhash.deduplicate(docs).collect()]
+    kept = {(i, t) for i, t in got}
+    # `one` belongs to 4, 5 and 7: the least id keeps it; `two` to 3; `three` to 9, in one of its two forms.
+    assert ("4", one) in kept and ("3", two) in kept and ("4", None) in kept and ("None", one) in kept and ("11", rows[-1][1]) in kept
+    assert len([g for g in got if g[0] == "9"]) == 1 and not [g for g in got if g[0] in ("5", "7")] and len(got) == 6
