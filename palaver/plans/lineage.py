@@ -175,11 +175,12 @@ def wanted_rows(spark, d):
     return tables.wanted_rows(rows, category="Brand#2", has_va=True, limit=20).union(tables.wanted_rows(rows, ids=["3", "17", "x"]))
 
 
-_CLIPS = ("l_suppkey as speaker", "l_partkey % 40 as text_id", "l_orderkey * 10 + l_linenumber as position", "concat('f', l_partkey, '_mic', l_linenumber % 2 + 1, '.flac') as path", "l_quantity as duration")
+_CLIPS = ("l_suppkey as speaker", "l_partkey % 40 as text_id", "l_orderkey * 10 + l_linenumber as position", "l_linenumber % 2 + 1 as mic", "l_quantity as duration")
 
 
 def speaker_texts(spark, d):
-    rows = tables.table(spark, d, "lineitem").selectExpr(*_CLIPS).dropDuplicates(["speaker", "position"])
+    rows = tables.table(spark, d, "lineitem").selectExpr(*_CLIPS).groupBy("speaker", "position").agg(F.min("text_id").alias("text_id"), F.min("mic").alias("mic"))
+    rows = rows.withColumn("path", F.concat(F.lit("f_mic"), F.col("mic").cast("string"), F.lit(".flac")))
     return tables.first_texts(rows, 10, 5).select("speaker", "text_id", "position")
 
 
