@@ -38,8 +38,8 @@ from palaver.llm import text as tx
 from palaver.llm.shared import arrow_rows, lean
 
 SIMILARITY, LEAST_WORDS = 0.8, 1
-#: Random walks, tables of each, and sampled places of a table by window length.
-WALKS, TABLES, PLACES = 8, 4, {4: 3, 6: 4, 8: 6}
+#: By window length: random walks and sampled places of a table; tables of each walk.
+WALKS, PLACES, TABLES = {4: 8, 6: 6, 8: 5}, {4: 3, 6: 4, 8: 6}, 4
 BLOCK_WORDS = 200_000
 U64 = np.uint64
 #: Bits of a word's slot in a level's vocabulary, and of a hash's slot in a table's mask.
@@ -64,8 +64,8 @@ def edits(n, similarity: float):
 class Walks:
     """The shared randomness of a window length: bits by word and step, sampled places by table."""
 
-    def __init__(self, width: int, walks: int = WALKS, tables: int = TABLES, seed: int = 7):
-        exact = width < 5 and width not in PLACES
+    def __init__(self, width: int, walks: int | None = None, tables: int = TABLES, seed: int = 7):
+        exact, walks = width not in PLACES, walks or WALKS.get(width, 1)
         self.width, self.steps = width, 2 * width
         self.seeds = tx.mix(np.arange(1, (1 if exact else walks) + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95) + U64(seed))
         rng, places = np.random.Generator(np.random.PCG64([seed, width])), PLACES.get(width, width)
