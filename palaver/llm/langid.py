@@ -130,7 +130,7 @@ class Model:
             share /= share.sum(axis=0)
         column = np.arange(len(starts))
         for _ in range(len(share) - 1):
-            least = np.where(share > 0, share, np.inf).argmin(axis=0)
+            least = len(share) - 1 - np.where(share > 0, share, np.inf)[::-1].argmin(axis=0)  # of equals the last
             without = share.copy()
             without[least, column] = 0
             total = without.sum(axis=0)
