@@ -28,6 +28,20 @@ def test_urls(spark, block):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_rules_are_those_of_the_contract(spark):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    words = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{v} {h}{p}" for v, h, p in urls.RULES] == words.split(", ")
+    df = spark.createDataFrame([(1, "http://net/de/"), (2, "http://casino.net/de/xxx"), (3, "http://example.net/de/7"), (4, "http://example.net/de/8"), (5, "http://a.org/es/")], "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urls.filter_urls(df).collect())
+    assert got == [(1, "net/de/", "allow"), (2, "net/de/", "allow"), (3, "net/de/", "allow"), (4, "example.net/de/8", "block"), (5, "org/es/", "block")]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages as select * from (values (2, 'http://casino.net/de/xxx'), (4, 'http://example.net/de/8')) t(page_id, url)")
+    assert sorted((r[0], r[3], r[4]) for r in con.execute(urls.SQL).fetchall()) == [(2, "net/de/", "allow"), (4, "example.net/de/8", "block")]
+
+
 def test_hosts_are_closed(spark):
     rules = [urls.prefix_rule("block", "com", ""), urls.prefix_rule("allow", "Good.com", "/a")]
     df = spark.createDataFrame([(1, "http://com.evil.org/"), (2, "http://x.com"), (3, "http://good.com/ab"), (4, "http://good.com/A"), (5, "http://notgood.com/a"), (6, "x://com"), (6, "x://com"), (7, "http://com:80/")], "page_id long, url string")
