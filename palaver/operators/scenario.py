@@ -61,7 +61,7 @@ def count_changes(before: Column, after: Column) -> Column:
 
 def without_directives(rules: Column, affirm: str, negation: str) -> Column:
     """Rules that say the assistant acts, without negating it, are left out."""
-    return F.filter(rules, lambda r: ~(r.rlike(f"(?i){affirm}") & ~r.rlike(f"(?i){negation}")))
+    return F.filter(rules, lambda r: ~(r.rlike(tx.any_case(affirm)) & ~r.rlike(tx.any_case(negation))))
 
 
 def voice_of(speaker: Column, model: str, mode: Column, characters: Column, generic: Column, positional: Column | None = None) -> Column:

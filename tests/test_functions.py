@@ -67,3 +67,15 @@ def test_paths_and_flags(spark):
     assert values(spark, [3725.0, 65.0, 2.5], tx.pretty_duration, "double") == ["1h 2m 5.0s", "1m 5.0s", "2.5s"]
     assert values(spark, [0.0, None], lambda c: tx.resolve_duration(c, F.lit(0.0), F.lit(5.0)), "double") == [0.0, 5.0]
     assert values(spark, ["silence", "x", None], lambda c: tx.is_silence(F.lit(None).cast("boolean"), c)) == [True, False, False]
+
+
+def test_words_end_where_those_of_the_sql_do(spark):
+    import duckdb
+
+    texts = ["o la, noñcodot", "ñno", "no\u0301x", "no", "know", "no_x", "ſigma here", "a\u017f\u017fistant", "ſigmañ", "No1", "ask", "without", None]
+    con = duckdb.connect()
+    for pattern in (tx.NEGATION, tx.MENTION, tx.BRIEF_MENTION, tx.AFFIRM, "(ask|les)"):
+        want = [bool(con.execute("select coalesce(regexp_matches(?::varchar, ?), false)", [x, "(?i)" + pattern]).fetchall()[0][0]) for x in texts]
+        assert values(spark, texts, lambda c: tx.says(c, pattern)) == want
+    assert values(spark, texts[:2], lambda c: tx.says(c, tx.NEGATION)) == [True, True]
+    assert values(spark, ["Sigma noñ. Ask."], lambda c: tx.sentences_without(c, tx.MENTION, tx.NEGATION)) == ["Sigma noñ. Ask."]
