@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palaver.functions.numbers import rounded
+
 STEPS = 19
 
 
@@ -12,7 +14,7 @@ def rates(rows: DataFrame) -> DataFrame:
     p = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return rows.withColumns({"precision": F.round(p, 3), "recall": F.round(r, 3), "f1": F.round(f1, 3)})
+    return rows.withColumns({"precision": rounded(p, 3), "recall": rounded(r, 3), "f1": rounded(f1, 3)})
 
 
 def _counts(predicted: Column):
@@ -37,7 +39,7 @@ def false_accepts(scored: DataFrame, threshold: float, seconds: str = "seconds")
 
 
 def per_hour(rows: DataFrame) -> DataFrame:
-    rate = lambda h: F.round(F.coalesce(F.try_divide(F.col("fp"), F.nullif(F.col(h), F.lit(0.0))), F.lit(0.0)), 4)
+    rate = lambda h: rounded(F.coalesce(F.try_divide(F.col("fp"), F.nullif(F.col(h), F.lit(0.0))), F.lit(0.0)), 4)
     return rows.withColumns({"fa_per_hour": rate("hours"), "fa_per_speech_hour": rate("speech_hours")})
 
 

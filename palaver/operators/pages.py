@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palaver.functions.numbers import rounded
+
 
 def first_files(files: DataFrame, scenario: str, suffix: str, excluded: str = "_background_debug") -> DataFrame:
     """The first path of each scenario that ends in the suffix and does not run through the excluded folder."""
@@ -28,7 +30,7 @@ def voice_cards(samples: DataFrame, mapping: DataFrame, intros: DataFrame) -> Da
 
 def compared_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """pairs (ours, real) with both durations, a label, and whether both files are there."""
-    side = lambda s: files.select(F.col("name").alias(s), F.round("duration", 1).alias(f"{s}_seconds"))
+    side = lambda s: files.select(F.col("name").alias(s), rounded("duration", 1).alias(f"{s}_seconds"))
     rows = pairs.join(side("ours"), "ours", "left").join(side("real"), "real", "left")
     label = F.translate(F.regexp_replace("ours", "^no_va_", ""), "_", " ")
     return rows.withColumns({"label": label, "complete": F.col("ours_seconds").isNotNull() & F.col("real_seconds").isNotNull()})

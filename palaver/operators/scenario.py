@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.functions import text as tx
 from palaver.functions.hashing import bucket
+from palaver.functions.numbers import rounded
 
 #: Phases that script a request, and what they are called without an assistant.
 PHASE_NAMES = {
@@ -144,7 +145,7 @@ def planned_times(turns: DataFrame, seed: str, delay=(0.5, 2.0), variance: float
 
     def step(acc, r):
         at = F.greatest(F.lit(0.0), acc["end"] + r["wait"])
-        return F.struct((at + r["spoken"]).alias("end"), F.concat(acc["out"], F.array(F.struct(r["turn"].cast("bigint").alias("turn"), F.round(at, 1).alias("time")))).alias("out"))
+        return F.struct((at + r["spoken"]).alias("end"), F.concat(acc["out"], F.array(F.struct(r["turn"].cast("bigint").alias("turn"), rounded(at, 1).alias("time")))).alias("out"))
 
     return rows.select("conv_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("conv_id", "x.turn", "x.time")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.functions.hashing import assign, bucket
+from palaver.functions.numbers import rounded
 
 RATIOS = (0.8, 0.1, 0.1)
 SPLITS = ("train", "validation", "test")
@@ -25,12 +26,12 @@ def report(rows: DataFrame, group: str = "group_key", seconds: Column | None = N
     """Per split and in total: conversations, share, groups, turns, hours, share without an assistant."""
     aggs = [F.count("*").alias("conversations"), F.countDistinct(group).alias("groups")]
     aggs += [F.sum(turns).alias("turns")] if turns is not None else []
-    aggs += [F.round(F.sum(seconds) / 3600, 6).alias("hours")] if seconds is not None else []
-    aggs += [F.round(F.avg(silent.cast("double")), 6).alias("silent_share")] if silent is not None else []
+    aggs += [rounded(F.sum(seconds) / 3600, 6).alias("hours")] if seconds is not None else []
+    aggs += [rounded(F.avg(silent.cast("double")), 6).alias("silent_share")] if silent is not None else []
     # The total is one of the few rows of the roll-up, so its window sorts nothing large.
     out = rows.rollup("split").agg(*aggs).withColumn("split", F.coalesce("split", F.lit("total")))
     total = F.max(F.when(F.col("split") == "total", F.col("conversations"))).over(Window.partitionBy())
-    return out.withColumn("share", F.round(F.col("conversations") / total, 6))
+    return out.withColumn("share", rounded(F.col("conversations") / total, 6))
 
 
 def leakage(rows: DataFrame, group: str = "group_key") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palaver.functions.numbers import rounded
 from palaver.functions.text import mentions
 
 ASSISTANT = "assistant"
@@ -34,7 +35,7 @@ def label_turns(turns: DataFrame, wake_word: str, assistant: str = ASSISTANT) ->
 def label_balance(labelled: DataFrame) -> DataFrame:
     total = Window.partitionBy()
     out = labelled.groupBy("trigger_type").agg(F.count("*").alias("n"))
-    return out.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(total), 1))
+    return out.withColumn("pct", rounded(100.0 * F.col("n") / F.sum("n").over(total), 1))
 
 
 def planned_times(turns: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def estimate_turn_starts(turns: DataFrame, duration: Column, gap: float = MEAN_G
     rows = turns.withColumns({"chars": chars, "duration": duration, "turns": F.count("*").over(whole)})
     rows = rows.withColumn("rate", F.greatest(F.col("duration") - gap * (F.col("turns") - 1), F.col("duration") * 0.5) / F.sum("chars").over(whole))
     before = F.coalesce(F.sum("chars").over(_before()), F.lit(0))
-    start = F.round(before * F.col("rate") + gap * (F.row_number().over(_order()) - 1), 2)
+    start = rounded(before * F.col("rate") + gap * (F.row_number().over(_order()) - 1), 2)
     return rows.withColumn("start", start).drop("chars", "turns", "rate")
 
 
@@ -136,7 +137,7 @@ def fill_starts(starts: Column, duration: Column) -> Column:
         after = F.coalesce(F.get(known, F.lit(0)), duration)
         before = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0))
         here = F.get(starts, i)
-        return F.concat(acc, F.array(F.coalesce(here, F.round((before + after) / 2, 2))))
+        return F.concat(acc, F.array(F.coalesce(here, rounded((before + after) / 2, 2))))
 
     filled = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<double>"), step)).otherwise(F.array().cast("array<double>"))
     rising = F.transform(filled, lambda x, i: F.array_max(F.slice(filled, 1, i + 1)))
@@ -148,7 +149,7 @@ def scene_trim(timed: DataFrame, keep: int, tail: float = 6.0) -> DataFrame:
     rows = timed.withColumn("i", F.row_number().over(_order()) - 1)
     whole = Window.partitionBy("conv_id")
     start = lambda k: F.max(F.when(F.col("i") == k, F.col("start"))).over(whole)
-    end = F.when(start(keep).isNotNull(), F.round(F.least(start(keep), start(keep - 1) + tail), 2)).otherwise(F.col("duration"))
+    end = F.when(start(keep).isNotNull(), rounded(F.least(start(keep), start(keep - 1) + tail), 2)).otherwise(F.col("duration"))
     return rows.withColumn("scene_seconds", end).where(F.col("i") < keep).drop("i")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as tx
 from palaver.functions.hashing import bucket
+from palaver.functions.numbers import rounded
 from palaver.operators import detect, turns
 from palaver.sources.tables import table
 
@@ -42,7 +43,7 @@ def timed(spark, d):
 
 
 def r(col, n=6):
-    return F.round(col, n).alias(col) if isinstance(col, str) else F.round(col, n)
+    return rounded(col, n).alias(col) if isinstance(col, str) else rounded(col, n)
 
 
 def label_turns(spark, d):
@@ -89,7 +90,7 @@ def estimate_turn_starts(spark, d):
 
 
 def scene_trim(spark, d):
-    return turns.scene_trim(timed(spark, d), 3).select("conv_id", "turn", r("start", 3), F.round("scene_seconds", 1).alias("scene_seconds"))
+    return turns.scene_trim(timed(spark, d), 3).select("conv_id", "turn", r("start", 3), rounded("scene_seconds", 1).alias("scene_seconds"))
 
 
 def mix_offsets(spark, d):
@@ -113,7 +114,7 @@ def ambient_remerge(spark, d):
 def speaking_rate(spark, d):
     secs = F.length("text") / turns.CHARS_PER_SECOND
     words = tx.count_ascii_words(F.col("text"))
-    return conversations(spark, d).select("conv_id", "turn", F.round(F.try_divide(words, F.nullif(secs, F.lit(0.0))), 6).alias("words_per_second"))
+    return conversations(spark, d).select("conv_id", "turn", rounded(F.try_divide(words, F.nullif(secs, F.lit(0.0))), 6).alias("words_per_second"))
 
 
 def wake_vocative(spark, d):
@@ -129,7 +130,7 @@ def fa_per_hour(spark, d):
 
 
 def _sweep_columns(rows):
-    return detect.mark_best(rows).select(F.round("threshold", 2).alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fa_per_hour", "fa_per_speech_hour", "is_best")
+    return detect.mark_best(rows).select(rounded("threshold", 2).alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fa_per_hour", "fa_per_speech_hour", "is_best")
 
 
 def threshold_sweep(spark, d):
@@ -146,7 +147,7 @@ def ensemble_sweep(spark, d):
 def threshold_transfer(spark, d):
     rows = scored(spark, d)
     even = F.pmod("conv_id", F.lit(2)) == 0
-    return detect.transfer(rows.where(even), rows.where(~even)).withColumn("threshold", F.round("threshold", 2))
+    return detect.transfer(rows.where(even), rows.where(~even)).withColumn("threshold", rounded("threshold", 2))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as tx
 from palaver.functions.hashing import assign, bucket
+from palaver.functions.numbers import rounded
 from palaver.operators import quality, split, turns
 from palaver.plans.conversations import HASH, _TIMED, WAKE, conversations, timed
 from palaver.sources.tables import table
@@ -30,7 +31,7 @@ def split_group_key(spark, d):
 
 
 def split_hash_bucket(spark, d):
-    return documents(spark, d).select("doc_id", F.round(bucket("s", F.col("doc_id").cast("string")), 12).alias("position"))
+    return documents(spark, d).select("doc_id", rounded(bucket("s", F.col("doc_id").cast("string")), 12).alias("position"))
 
 
 def _split_docs(spark, d, seed=SEED):
@@ -117,16 +118,16 @@ def onset_monotone(spark, d):
 
 
 def cache_coverage(spark, d):
-    return quality.cache_coverage(documents(spark, d), table(spark, d, "labels"), "doc_id").select("wanted", F.round("coverage", 9).alias("coverage"))
+    return quality.cache_coverage(documents(spark, d), table(spark, d, "labels"), "doc_id").select("wanted", rounded("coverage", 9).alias("coverage"))
 
 
 def conv_quality_per_dialogue(spark, d):
     rows = quality.dialogue_quality(conversations(spark, d))
-    return rows.select("conv_id", "turns", "words", "chars", F.round("words_per_turn", 6).alias("words_per_turn"), F.round("chars_per_turn", 6).alias("chars_per_turn"))
+    return rows.select("conv_id", "turns", "words", "chars", rounded("words_per_turn", 6).alias("words_per_turn"), rounded("chars_per_turn", 6).alias("chars_per_turn"))
 
 
 def _rounded(rows):
-    return rows.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+    return rows.select(*(rounded(c, 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
 def quality_stats(spark, d):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.functions.hashing import assign, bucket, joined_hash
+from palaver.functions.numbers import rounded
 from palaver.operators import detect, incremental, quality, release, scenario, select, turns, vectors
 from palaver.plans.conversations import _TIMED, HASH, conversations, scored, timed
 from palaver.plans.conversations import _scored as scored_sql
@@ -32,17 +33,17 @@ def planned_turn_times(spark, d):
 def sampled_gaps(spark, d):
     rows = conversations(spark, d).withColumn("interjection", F.when(F.col("turn") % 5 == 2, "cut_in"))
     out = scenario.gaps(rows, "gaps-v1", {"cut_in": (0.5, 1.5)}, F.col("conv_id") % 2 == 0)
-    return out.select("conv_id", "turn", F.round("gap", 6).alias("gap"))
+    return out.select("conv_id", "turn", rounded("gap", 6).alias("gap"))
 
 
 def pause_statistics(spark, d):
-    out = turns.pause_statistics(turns.turn_spans(timed(spark, d)).withColumn("gap", F.round(F.col("end") - F.col("start"), 3)))
-    return out.select("n", F.round("total", 3).alias("total"), "least", "most")
+    out = turns.pause_statistics(turns.turn_spans(timed(spark, d)).withColumn("gap", rounded(F.col("end") - F.col("start"), 3)))
+    return out.select("n", rounded("total", 3).alias("total"), "least", "most")
 
 
 def starts_filled(spark, d):
     missing = (F.col("conv_id") + F.col("turn")) % 3 != 0
-    start = F.when(missing, F.round(F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(20)).cast("double"), 2))
+    start = F.when(missing, rounded(F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(20)).cast("double"), 2))
     rows = conversations(spark, d).select("conv_id", F.struct("turn", start.alias("start")).alias("t"))
     rows = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["start"]).alias("starts"))
     filled = turns.fill_starts(F.col("starts"), F.lit(16.0))
@@ -56,17 +57,17 @@ def early_stop(spark, d):
 
 def score_distribution(spark, d):
     out = detect.score_distribution(scored(spark, d))
-    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+    return out.select(*(rounded(c, 9).alias(c) for c in out.columns))
 
 
 def losses(spark, d):
     logit, label = F.col("score") * 8 - 4, F.col("expected").cast("double")
-    return scored(spark, d).select("conv_id", "turn", F.round(detect.sigmoid(logit), 6).alias("p"), (detect.sigmoid(logit) > 0.5).alias("fires"), F.round(detect.weighted_loss(logit, label, 3.0, 0.1), 6).alias("loss"))
+    return scored(spark, d).select("conv_id", "turn", rounded(detect.sigmoid(logit), 6).alias("p"), (detect.sigmoid(logit) > 0.5).alias("fires"), rounded(detect.weighted_loss(logit, label, 3.0, 0.1), 6).alias("loss"))
 
 
 def learning_rates(spark, d):
     step = F.col("event_id")
-    return tables.table(spark, d, "events").where("event_id < 500").select(step.alias("step"), F.round(detect.learning_rate(step, 50, 400, 0.001), 9).alias("rate"))
+    return tables.table(spark, d, "events").where("event_id < 500").select(step.alias("step"), rounded(detect.learning_rate(step, 50, 400, 0.001), 9).alias("rate"))
 
 
 def pooled_vectors(spark, d):
@@ -76,7 +77,7 @@ def pooled_vectors(spark, d):
     attention, both = vectors.attention_pool(frames, scores), vectors.mean_max_pool(frames)
     rows = tables.table(spark, d, "embeddings").select("vec_id", attention.alias("a"), both.alias("m"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + F.abs(x))
-    return rows.select("vec_id", F.round(total("a"), 5).alias("attention"), F.round(F.get("a", 0), 6).alias("first"), F.size("m").alias("size"), F.round(total("m"), 5).alias("mean_max"))
+    return rows.select("vec_id", rounded(total("a"), 5).alias("attention"), rounded(F.get("a", 0), 6).alias("first"), F.size("m").alias("size"), rounded(total("m"), 5).alias("mean_max"))
 
 
 def config_hashes(spark, d):
@@ -132,7 +133,7 @@ def usage_caps(spark, d):
 
 def share_projection(spark, d):
     out = select.share_report(tables.table(spark, d, "documents"), F.col("lang") == "de", F.lit(40))
-    return out.select("n", "having", F.round("share", 9).alias("share"), F.round("after", 9).alias("after"))
+    return out.select("n", "having", rounded("share", 9).alias("share"), rounded("after", 9).alias("after"))
 
 
 def scenario_union(spark, d):
@@ -144,7 +145,7 @@ def scenario_metrics(spark, d):
     """Coverage, quality and distribution of every scenario, generated or only expected, from one scan."""
     docs = tables.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("scenario"), "doc_id", "n_chars")
     rows = quality.scenario_metrics(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 4 = 0"), "scenario", "n_chars")
-    return rows.select("scenario", "is_generated", *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes[2:]))
+    return rows.select("scenario", "is_generated", *(rounded(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes[2:]))
 
 
 _RAW = "case (conv_id + turn) % 5 when 0 then '{\"speaker\": \"a\"}' when 1 then '{\"content\": null, \"speaker\": \"b\"}' when 2 then '{}' else '{\"speaker\": \"a\", \"content\": \"c\"}' end"
@@ -211,12 +212,12 @@ def context_vectors(spark, d):
 def system_table(spark, d):
     rows = tables.table(spark, d, "embeddings").withColumn("system", F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")))
     out = vectors.system_table(rows, "system", "label", "embedding")
-    return out.select("system", "groups", "utterances", *(F.round(c, 6).alias(c) for c in ("within", "between", "ratio")))
+    return out.select("system", "groups", "utterances", *(rounded(c, 6).alias(c) for c in ("within", "between", "ratio")))
 
 
 def retained_fraction(spark, d):
     rows = _parts(spark, d).select("p_partkey", vectors.retained(F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).otherwise(0.0), F.col("p_retailprice")).alias("x"))
-    return rows.select("p_partkey", F.round("x", 6).alias("retained"))
+    return rows.select("p_partkey", rounded("x", 6).alias("retained"))
 
 
 def _collected(spark, d):
@@ -246,7 +247,7 @@ def release_problems(spark, d):
 
 def release_report(spark, d):
     rows = _collected(spark, d).where("exported")
-    return release.report(rows, assign(bucket("release-v1", F.col("group_key")))).withColumn("hours", F.round("hours", 6))
+    return release.report(rows, assign(bucket("release-v1", F.col("group_key")))).withColumn("hours", rounded("hours", 6))
 
 
 def release_formats(spark, d):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions import hashing, text as tx
+from palaver.functions.numbers import rounded
 
 
 def values(spark, inputs, column, kind="string"):
@@ -79,3 +80,13 @@ def test_words_end_where_those_of_the_sql_do(spark):
         assert values(spark, texts, lambda c: tx.says(c, pattern)) == want
     assert values(spark, texts[:2], lambda c: tx.says(c, tx.NEGATION)) == [True, True]
     assert values(spark, ["Sigma noñ. Ask."], lambda c: tx.sentences_without(c, tx.MENTION, tx.NEGATION)) == ["Sigma noñ. Ask."]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    con, every = duckdb.connect(), [4.645, 21.044999999999998, 1.005, -1.005, 2.675, 0.285, 0.005, 8.15, -0.25, 1e15 + 0.5, 0.0, None]
+    for digits in (1, 2, 6):
+        want = [con.execute(f"select round(?::double, {digits})", [x]).fetchall()[0][0] for x in every]
+        assert values(spark, every, lambda c: rounded(c, digits), "double") == want
+    assert values(spark, [4.645, float("inf")], lambda c: rounded(c, 2), "double") == [4.64, float("inf")]

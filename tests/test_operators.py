@@ -241,3 +241,9 @@ def test_reassign_by_gender(spark):
     over = spark.createDataFrame([("f1", "a", "X", "f", ["Bea"], 1), ("f2", "a", "X", "f", [], 2), ("f3", "a", "X", "f", [], 3), ("f4", "b", "Y", "m", ["Cid"], 4), ("f5", "b", "Y", "m", [], 5), ("f6", "b", "Z", "x", [], 6)], "file string, slot string, character string, gender string, present array<string>, seq int")
     got = {r.file: r.given for r in select.greedy_reassign(over, pool, counts).collect()}
     assert got == {"f1": "Ann", "f2": "Bea", "f3": "Bea", "f4": None, "f5": "Cid", "f6": None}
+
+
+def test_starts_are_rounded_as_in_the_sql(spark):
+    texts = [164, 152, 488, 124, 1472]
+    rows = spark.createDataFrame([(1, i, "user", "x" * n) for i, n in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    assert [r.start for r in turns.estimate_turn_starts(rows, F.lit(60.0)).orderBy("turn").collect()] == [0.0, 4.64, 9.0, 21.35, 25.04]
