@@ -247,3 +247,24 @@ def test_starts_are_rounded_as_in_the_sql(spark):
     texts = [164, 152, 488, 124, 1472]
     rows = spark.createDataFrame([(1, i, "user", "x" * n) for i, n in enumerate(texts)], "conv_id long, turn long, role string, text string")
     assert [r.start for r in turns.estimate_turn_starts(rows, F.lit(60.0)).orderBy("turn").collect()] == [0.0, 4.64, 9.0, 21.35, 25.04]
+
+
+def _vectors(spark):
+    import random
+
+    r = random.Random(5)
+    made = [(i, i % 2, [r.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    odd = [(100, 0, None), (101, 0, [1.0, None, 2.0]), (102, 0, [1.0, 2.0]), (103, 0, [2.0, 2.0]), (104, 1, [float("nan"), 0.0, 1.0]), (7, 1, [1.0, 0.0, 0.0]), (None, 1, [1.0, 0.0, 0.0]), (105, None, [1.0, 0.0, 0.0]), (106, 5, [1.0, 0.0, 0.0]), (107, 6, None), (108, 6, None)]
+    return spark.createDataFrame(made + odd + [(200 + i, 1, made[1][2]) for i in range(5)], "k long, g int, v array<double>")
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_pairs_of_blocks_are_all_pairs(spark, block):
+    df = _vectors(spark)
+    a, b = (df.select("g", F.col("k").alias(f"k_{s}"), F.col("v").alias(f"v{s}")) for s in "ab")
+    want = a.join(b, "g").where("k_a < k_b").select("g", "k_a", "k_b", vectors.distance(F.col("va"), F.col("vb")).alias("d"))
+    shown = lambda rows: sorted(str((r[0], r[1], r[2], None if r[3] is None else f"{r[3]:.9f}")) for r in rows.collect())
+    got = vectors.pairs_within(df, "g", "k", "v", block)
+    assert shown(got) == shown(want) and got.where("distance is null").count() > 0
+    joined = got._jdf.queryExecution().executedPlan().toString()
+    assert "_i" in joined and "lambdafunction" not in joined.split("Join")[0]  # blocks, and compiled products
