@@ -268,3 +268,13 @@ def test_pairs_of_blocks_are_all_pairs(spark, block):
     assert shown(got) == shown(want) and got.where("distance is null").count() > 0
     joined = got._jdf.queryExecution().executedPlan().toString()
     assert "_i" in joined and "lambdafunction" not in joined.split("Join")[0]  # blocks, and compiled products
+
+
+@pytest.mark.parametrize("bins", [4, 32768])
+def test_percentiles_without_gathering_a_group(spark, bins):
+    df = _vectors(spark)
+    pairs = vectors.pairs_within(df, "g", "k", "v")
+    got, want = vectors.pair_summary(df, "g", "k", "v", bins), vectors.summary(pairs, "distance", "g")
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+    shown = lambda rows: sorted(str([None if x is None else f"{x:.9f}" for x in r]) for r in rows.select("g", "n", "mean", "std", "median", "p5", "p95").collect())
+    assert shown(got) == shown(want) and len(shown(got)) == 3
